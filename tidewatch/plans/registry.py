@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators import scoring
-from tidewatch.plans import common, q_flows
+from tidewatch.plans import common, q_eval, q_flows
 
-MODULES = [q_flows]
+MODULES = [q_flows, q_eval]
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
