@@ -118,18 +118,19 @@ def group_quantiles(
     value: str,
     probs: dict[str, float],
     method: str = "linear",
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group with no group gathered in one task.
 
     Values are counted first, the distinct ones sorted globally, and the wanted positions picked
     from running counts. `linear` interpolates between neighbours, `nearest` takes the value at
-    round-half-even((n-1)*q). Adds columns named by `probs` next to the group columns and `n`.
+    round-half-even((n-1)*q). A weight column says how often a row counts. Adds columns named by `probs` next to the group columns and `n`.
     """
     groups = list(groups)
     counted = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     )
     run = running_sums(sorted_slices(counted, [*groups, value]), {"_cum": "_c"})
     # One row per group. Its end in the global running count is known from its own rows.

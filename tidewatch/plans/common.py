@@ -30,14 +30,17 @@ RULES = replace(
 KEY = ", ".join(OPS_KEY)
 
 
+# Keeps exact decimals off the rounding ties the two engines break differently.
+OFF = 1.0000000000012
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Doubles to nine significant digits (both engines sum in their own order), arrays to text."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind == "double":
-            # the factor keeps exact decimals off the rounding ties the engines break differently
-            c = F.format_string("%.8e", F.round(c, 6) * F.lit(1.0000000000012) + 0.0).cast("double")
+            c = F.format_string("%.8e", F.round(c * F.lit(OFF), 6) * F.lit(OFF) + 0.0).cast("double")
             c = F.when(F.col(f"`{name}`").isNotNull(), c)
         elif kind == "array<string>":
             c = F.array_join(c, ";")
@@ -47,7 +50,7 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def num(expr: str, name: str | None = None) -> str:
     """The same rounding in SQL."""
-    return f"CAST(format('{{:.8e}}', round(CAST({expr} AS DOUBLE), 6) * 1.0000000000012::DOUBLE + 0.0) AS DOUBLE) AS {name or expr}"
+    return f"CAST(format('{{:.8e}}', round(CAST({expr} AS DOUBLE) * {OFF}::DOUBLE, 6) * {OFF}::DOUBLE + 0.0) AS DOUBLE) AS {name or expr}"
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

@@ -371,4 +371,3 @@ Q["h07_flow_identity"] = lambda s, d: sc.score_flows(feature_table(s, d), T).sel
 S["h07_flow_identity"] = f"""WITH {features_sql()} SELECT {KEY}, {ISO_SQL.format(c="start_us")} AS first_seen,
  {ISO_SQL.format(c="end_us")} AS last_seen, event_count, total_bytes, src_ports AS src_ports_seen FROM ff"""
 
-__all__ = ["Q", "S", "INTEGERS", "feature_select", "ALERT_COLUMNS", "SCORED_COLUMNS", "BURST_FEATURES"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.operators import scoring
-from tidewatch.plans import common, q_eval, q_flows, q_sources
+from tidewatch.plans import common, q_eval, q_flows, q_models, q_sources
 
-MODULES = [q_flows, q_eval, q_sources]
+MODULES = [q_flows, q_eval, q_sources, q_models]
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
