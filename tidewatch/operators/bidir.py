@@ -239,13 +239,17 @@ def compatibility_table(detectors: DataFrame, incompatible: Sequence[tuple[str,
     return ok.unionByName(rows, allowMissingColumns=True)
 
 
-def leave_one_out(df: DataFrame, scenario: str = "scenario_name") -> DataFrame:
-    """Every row once per scenario, with `fold_name`, `test_scenario` and `role`.
-
-    The scenario list is small and collected, since it names the folds."""
+def scenario_names(df: DataFrame, scenario: str = "scenario_name") -> list[str]:
+    """The scenarios, one per input capture; they name the folds, so the list is collected."""
     names = sorted(r[0] for r in df.select(scenario).distinct().collect())
     if len(names) < 2:
         raise ValueError("At least two CTU scenarios are required for scenario-aware splits.")
+    return names
+
+
+def leave_one_out(df: DataFrame, scenario: str = "scenario_name") -> DataFrame:
+    """Every row once per scenario, with `fold_name`, `test_scenario` and `role`."""
+    names = scenario_names(df, scenario)
     d = df.withColumn("test_scenario", F.explode(F.array(*[F.lit(n) for n in names])))
     return d.withColumns(
         {

@@ -20,9 +20,9 @@ from tidewatch.schema import FeatureParams
 
 # A flow above this many events is cut into cells.
 HOT_EVENTS = 1_000_000
-# The busiest keys only: a flow outside this list holds at most 1/1000 of all events, and the
+# The busiest keys only: a flow outside this list holds at most 1/10,000 of all events, and the
 # list is small enough to broadcast whatever the input size.
-MAX_HOT_KEYS = 1000
+MAX_HOT_KEYS = 10_000
 # Distinct timestamps wanted per time cell.
 CELL_EVENTS = 100_000
 

@@ -79,7 +79,7 @@ def with_rank(df: DataFrame, order: Sequence, rank: str = "rank") -> DataFrame:
 
 
 def hash_rank(
-    df: DataFrame, key: str, rank: str, total: str, by: Sequence[str] = (), digits: int = 3
+    df: DataFrame, key: str, rank: str, total: str, by: Sequence[str] = (), digits: int = 4
 ) -> DataFrame:
     """Row number in the order of a hex hash column that is unique within `by`, and the row count.
 

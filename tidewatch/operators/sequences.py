@@ -31,8 +31,13 @@ def _gap_rows(ev: DataFrame, key: list[str], threshold: int) -> DataFrame:
         return rows
     busy = hot.with_hot_keys(ev, busy_keys, key)
     runs = hot._gap_runs(busy, key)
-    repeated = F.explode(F.array_repeat(F.lit(1), F.col("c").cast("int")))
-    return rows.unionByName(runs.select(*key, "t_us", "gap_us", repeated.alias("_r")).drop("_r"))
+    # one row per gap again, in two steps so that no array grows with the flow
+    step = 1_000_000
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("c") - 1) / step)))
+    runs = runs.select(*key, "t_us", "gap_us", "c", parts.alias("_p"))
+    left = F.least(F.lit(step), F.col("c") - F.col("_p") * step).cast("int")
+    runs = runs.withColumn("_r", F.explode(F.array_repeat(F.lit(1), left)))
+    return rows.unionByName(runs.select(*key, "t_us", "gap_us"))
 
 
 def bursts(

@@ -173,17 +173,20 @@ def native_params(p: ModelParams = ModelParams()) -> ModelParams:
 
 
 def native_supervised(rows: DataFrame, kinds: Sequence[str] = ("logistic_regression", "random_forest"), p: ModelParams = ModelParams()) -> tuple[DataFrame, DataFrame]:
-    """Leave-one-scenario-out predictions and the importance rows of every fold."""
+    """Leave-one-scenario-out predictions and the importance rows of every fold.
+
+    The rows are read by every fit, so they are written once; a fold is a filter on the scenario."""
     p = native_params(p)
-    folds = bd.leave_one_out(rows)
-    names = [r[0] for r in folds.select("test_scenario").distinct().orderBy("test_scenario").collect()]
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint()
+    names = bd.scenario_names(rows)
     pred = weights = None
     for name in names:
-        fold = folds.filter(F.col("test_scenario") == name)
+        train, test = (rows.filter(F.col("scenario_name") != name), rows.filter(F.col("scenario_name") == name))
         for kind in kinds:
-            d = md.fit(fold.filter("role = 'train'"), kind, p)
-            s = md.score(fold.filter("role = 'test'"), d).drop("contributions").withColumns(
-                {"detector_name": F.lit(NATIVE_NAMES[kind]), "true_label": F.col("label"), "operating_point": F.lit(f"threshold={p.threshold:g};features={len(p.features)}")}
+            d = md.fit(train, kind, p)
+            s = md.score(test, d).drop("contributions").withColumns(
+                {"fold_name": F.lit(f"test_{name}"), "test_scenario": F.lit(name), "detector_name": F.lit(NATIVE_NAMES[kind]), "true_label": F.col("label"), "operating_point": F.lit(f"threshold={p.threshold:g};features={len(p.features)}")}
             )
             w = md.importance_table(d, rows.sparkSession, fold_name=f"test_{name}", test_scenario=name)
             w = w.withColumn("detector_name", F.lit(NATIVE_NAMES[kind]))

@@ -318,8 +318,14 @@ Q["j11_multi_seed_supervised"] = _j11s
 # --- L: models on bidirectional flows -------------------------------------------------------------
 
 
+def native_rows(s, d):
+    return stored(s, d, "native_rows", native)
+
+
 def native_detections(s, d):
-    return stored(s, d, "native_lof", lambda s, d: an.native_lof(bd.native_split(native(s, d)), bd.NATIVE_FEATURES))
+    return stored(
+        s, d, "native_lof", lambda s, d: an.native_lof(bd.native_split(native_rows(s, d)), bd.NATIVE_FEATURES)
+    )
 
 
 # Brute force over all records is too slow in SQL; tests/test_models.py checks it on a small table.
@@ -327,16 +333,19 @@ Q["l07_native_lof"] = lambda s, d: tidy(native_detections(s, d).select("record_i
 
 
 def native_predictions(s, d):
-    return stored(s, d, "native_supervised", lambda s, d: jobs.native_supervised(native(s, d), p=SMALL)[0])
+    return stored(s, d, "native_supervised", lambda s, d: jobs.native_supervised(native_rows(s, d), p=SMALL)[0])
 
 
 Q["l10_native_supervised"] = lambda s, d: tidy(
     ev.classification_metrics(native_predictions(s, d), ["detector_name", "test_scenario"])
 )
-Q["l11_importance_rows"] = lambda s, d: tidy(jobs.native_supervised(native(s, d), ["logistic_regression"], SMALL)[1])
+Q["l11_importance_rows"] = lambda s, d: tidy(jobs.native_supervised(native_rows(s, d), ["logistic_regression"], SMALL)[1])
 Q["l12_score_one_file"] = lambda s, d: tidy(
     jobs.score_bidir(
-        native(s, d).filter("scenario_name <> 'scenario_2'"), native(s, d).filter("scenario_name = 'scenario_2'"), "random_forest", SMALL
+        native_rows(s, d).filter("scenario_name <> 'scenario_2'"),
+        native_rows(s, d).filter("scenario_name = 'scenario_2'"),
+        "random_forest",
+        SMALL,
     )[1]
 )
 
