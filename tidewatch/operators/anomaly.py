@@ -171,7 +171,7 @@ def average_path(n: np.ndarray) -> np.ndarray:
 def _grow(seed: int, sample: int):
     limit = int(np.ceil(np.log2(max(sample, 2))))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         x = np.stack(rows.sort_values("row_key")["vec"].to_numpy())
         rng = np.random.default_rng([seed, tree])

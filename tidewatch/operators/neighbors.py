@@ -104,7 +104,7 @@ def _visits(queries: DataFrame, pivots: np.ndarray, stats: pd.DataFrame, need: i
 def _nearest_in_block(k: int):
     """k nearest of each query inside one block: exact distances, ties by id."""
 
-    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"qid": [], "rid": [], "dist": [], "w": []})
         if not len(q) or not len(r):
             return none
