@@ -44,6 +44,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from tidewatch.plans import common, registry
+    from tidewatch.session import tune
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -58,6 +59,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
     queries = dict(registry.QUERIES)
     queries["features_to_table"] = common.feature_table
     # start Spark and the Python workers outside the clock

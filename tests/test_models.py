@@ -37,9 +37,10 @@ def table(spark, x, label="benign"):
     return d.withColumn("label", F.lit(label)), names
 
 
-@pytest.mark.parametrize("block,pivots", [(4000, 64), (7, 5)])
-def test_lof_against_brute_force(spark, monkeypatch, block, pivots):
+@pytest.mark.parametrize("block,pivots,two_step", [(4000, 64, 64), (7, 5, 64), (7, 5, 1)])
+def test_lof_against_brute_force(spark, monkeypatch, block, pivots, two_step):
     monkeypatch.setattr(nb, "BLOCK_ROWS", block)  # small blocks: rings and visitors are cut up
+    monkeypatch.setattr(nb, "TWO_STEP_RINGS", two_step)
     monkeypatch.setattr(nb, "MAX_PIVOTS", pivots)
     rng = np.random.default_rng(5)
     ref = np.vstack([rng.normal(size=(60, 3)), rng.normal(loc=6, size=(40, 3))])

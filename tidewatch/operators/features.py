@@ -69,18 +69,19 @@ def flow_features(
     params: FeatureParams = FeatureParams(),
     key: Sequence[str] = OPS_KEY,
     mixed: str = "reject",
-    hot_threshold: int = hot.HOT_EVENTS,
+    hot_threshold: int | None = hot.HOT_EVENTS,
     hot_keys: DataFrame | None = None,
 ) -> DataFrame:
     """All features of every flow.
 
     `hot_keys` may carry the busiest keys if they are already known (columns: key, event_count,
-    start_us, end_us); otherwise one counting pass over the key columns finds them. `key` may hold
-    more than the flow key, e.g. a seed or an evidence size.
+    start_us, end_us); otherwise one counting pass over the key columns finds them, unless
+    `hot_threshold` is None because flows are known to be short. `key` may hold more than the flow
+    key, e.g. a seed or an evidence size.
     """
     key = list(key)
     ev = keyed(events, key)
-    if hot_keys is None:
+    if hot_keys is None and hot_threshold is not None:
         hot_keys = hot.find_hot_keys(ev, key, hot_threshold)
     if hot_keys is None:
         out = _window_path(ev, params, key)

@@ -1,8 +1,8 @@
 """Exact k nearest neighbours of vectors, as a blocked and pruned join.
 
 The reference is cut into cells around pivots and, by distance to the pivot, into rings. From ring
-sizes and radii every query gets an upper bound of its k-th distance; it then visits only rings
-that can hold a closer vector. Rings and their visitors are cut into blocks of bounded size, and a
+sizes and radii every query gets an upper bound of its k-th distance: it searches the closest rings
+first and then visits only rings that can hold a closer vector. Rings and their visitors are cut into blocks of bounded size, and a
 block pair returns at most k neighbours per query, so neither a dense region nor a popular ring
 ends up in one task, and no list of all pairs exists. Equal reference vectors are one row with a
 weight, so copies cost nothing.
@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 MAX_PIVOTS = 64  # with MAX_RINGS this bounds what the driver holds about the reference
 MAX_RINGS = 64
 BLOCK_ROWS = 4000
+# With fewer rings a second search costs more than it prunes.
+TWO_STEP_RINGS = 64
 
 
 def _matrix(column: pd.Series, dims: int) -> np.ndarray:
@@ -79,40 +81,69 @@ def _rings(assigned: DataFrame) -> tuple[DataFrame, pd.DataFrame]:
     return d, stats.toPandas()  # at most MAX_PIVOTS * MAX_RINGS rows
 
 
-def _visits(queries: DataFrame, pivots: np.ndarray, stats: pd.DataFrame, need: int) -> DataFrame:
-    """The rings each query must visit."""
+def _visits(queries: DataFrame, pivots: np.ndarray, stats: pd.DataFrame, need: int, step: str) -> DataFrame:
+    """The rings each query visits, as `at`.
+
+    `near`: the closest rings that together surely hold enough vectors. `rest`: the other rings
+    that can still hold one closer than `theta`, the k-th distance found in the near rings. `all`:
+    both at once, with the radius of the near rings in place of theta.
+    """
     cells = stats["cell"].to_numpy()
     lo, hi, w = stats["lo"].to_numpy(), stats["hi"].to_numpy(), stats["w"].to_numpy(dtype=np.float64)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def visit(vec: pd.Series) -> pd.Series:
+    def split(vec: pd.Series):
         d = _distances(_matrix(vec, pivots.shape[1]), pivots)[:, cells]
         upper = d + hi
-        order = np.argsort(upper, axis=1)
+        order = np.argsort(upper, axis=1, kind="stable")
         full = np.cumsum(w[order], axis=1) >= need
-        first = np.where(full.any(axis=1), full.argmax(axis=1), len(cells) - 1)
-        rows = np.arange(len(d))
-        bound = upper[rows, order[rows, first]]
-        lower = np.maximum(np.maximum(d - hi, lo - d), 0.0)
+        last = np.where(full.any(axis=1), full.argmax(axis=1), len(cells) - 1)
+        near = np.zeros(d.shape, dtype=bool)
+        np.put_along_axis(near, order, np.arange(len(cells))[None, :] <= last[:, None], axis=1)
+        bound = np.take_along_axis(upper, np.take_along_axis(order, last[:, None], 1), 1)[:, 0]
+        return near, np.maximum(np.maximum(d - hi, lo - d), 0.0), bound
+
+    def reach(lower: np.ndarray, bound: np.ndarray) -> np.ndarray:
         # a hair of slack keeps rounding from pruning a true neighbour
-        keep = lower <= (bound * (1 + 1e-9) + 1e-9)[:, None]
-        return pd.Series([np.flatnonzero(k).astype(np.int32) for k in keep])
+        return lower <= (bound * (1 + 1e-9) + 1e-9)[:, None]
+
+    def lists(keep: np.ndarray) -> pd.Series:
+        return pd.Series([np.flatnonzero(k).astype(np.int32) for k in keep], dtype=object)
+
+    rings = T.ArrayType(T.IntegerType())
 
-    return queries.withColumn("at", F.explode(visit("vec")))
+    @F.pandas_udf(rings)
+    def once(vec: pd.Series) -> pd.Series:
+        near, lower, bound = split(vec)
+        return lists(near | reach(lower, bound))
+
+    @F.pandas_udf(rings)
+    def first(vec: pd.Series) -> pd.Series:
+        return lists(split(vec)[0])
+
+    @F.pandas_udf(rings)
+    def rest(vec: pd.Series, theta: pd.Series) -> pd.Series:
+        near, lower, _ = split(vec)
+        return lists(~near & reach(lower, theta.to_numpy(dtype=np.float64)))
+
+    at = {"all": lambda: once("vec"), "near": lambda: first("vec"), "rest": lambda: rest("vec", "theta")}[step]()
+    return queries.withColumn("at", F.explode(at)).select("qid", "vec", "at")
 
 
 def _nearest_in_block(k: int):
     """k nearest of each query inside one block: exact distances, ties by id."""
 
     def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": [], "rid": [], "dist": [], "w": []})
+        def rows(qid, rid, dist, w) -> pd.DataFrame:
+            text = {"qid": pd.Series(qid, dtype=object), "rid": pd.Series(rid, dtype=object)}
+            return pd.DataFrame({**text, "dist": np.asarray(dist, float), "w": np.asarray(w, np.int64)})
+
         if not len(q) or not len(r):
-            return none
+            return rows([], [], [], [])
         r = r.sort_values("rid", ignore_index=True)
-        b, w, rid = np.stack(r["vec"].to_numpy()), r["w"].to_numpy(), r["rid"].to_numpy()
+        b, w, rid = np.stack(r["vec"].to_numpy()), r["w"].to_numpy(), r["rid"].to_numpy(dtype=object)
         a = np.stack(q["vec"].to_numpy())
         nb = (b * b).sum(axis=1)
-        own = q["own"].to_numpy()
+        own = q["own"].to_numpy(dtype=object)
         out = []
         take = min(k + 1, len(b))  # own vector may be among them
         for start in range(0, len(a), 512):
@@ -132,34 +163,24 @@ def _nearest_in_block(k: int):
                 out.append((start + i, c[ok], dist[ok], left[ok]))
         idx = np.concatenate([np.full(len(c), i) for i, c, _, _ in out])
         col = np.concatenate([c for _, c, _, _ in out])
-        return pd.DataFrame(
-            {
-                "qid": q["qid"].to_numpy()[idx],
-                "rid": rid[col],
-                "dist": np.concatenate([d for _, _, d, _ in out]),
-                "w": np.concatenate([n for _, _, _, n in out]).astype(np.int64),
-            }
+        return rows(
+            q["qid"].to_numpy(dtype=object)[idx],
+            rid[col],
+            np.concatenate([d for _, _, d, _ in out]),
+            np.concatenate([n for _, _, _, n in out]),
         )
 
     return run
 
 
-def knn(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """qid, rid, dist, take: the k nearest reference rows of each query, copies counted in `take`.
-
-    queries: qid, vec. reference: rid, vec, w (see distinct_vectors). With exclude_self one copy of
-    the query's own vector (qid = rid) is left out.
-    """
-    total = reference.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    pivots = _pivots(reference, total)
-    ringed, stats = _rings(_assign(reference, pivots))
-    stats = stats.sort_values(["cell", "ring"], ignore_index=True)
-    stats["at"] = np.arange(len(stats), dtype=np.int32)
-    visits = _visits(queries, pivots, stats, k + (1 if exclude_self else 0))
+def _search(visits: DataFrame, ringed: DataFrame, stats: pd.DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """qid, rid, dist, w: candidates of every visited ring, block by block."""
     visitors = visits.groupBy("at").agg(F.count(F.lit(1)).alias("m")).toPandas().set_index("at")["m"]
-    stats["parts"] = np.maximum(1, -(-stats["n"] // BLOCK_ROWS)).astype(int)
-    stats["groups"] = np.maximum(1, -(-visitors.reindex(stats["at"]).fillna(0).to_numpy() // BLOCK_ROWS)).astype(int)
-    spark = queries.sparkSession
+    stats = stats.assign(
+        parts=np.maximum(1, -(-stats["n"] // BLOCK_ROWS)).astype(int),
+        groups=np.maximum(1, -(-visitors.reindex(stats["at"]).fillna(0).to_numpy() // BLOCK_ROWS)).astype(int),
+    )
+    spark = visits.sparkSession
     table = F.broadcast(
         spark.createDataFrame(
             stats[["cell", "ring", "at", "parts", "groups"]], "cell int, ring int, at int, parts int, groups int"
@@ -179,13 +200,39 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool = F
         *[F.col(x).alias(x) for x in ("at", "part", "grp", "qid", "vec")], own.alias("own")
     )
     block = ["at", "part", "grp"]
-    found = (
+    return (
         left.groupBy(*block)
         .cogroup(right.groupBy(*block))
         .applyInPandas(_nearest_in_block(k), "qid string, rid string, dist double, w bigint")
     )
+
+
+def _with_counts(found: DataFrame) -> DataFrame:
     # at most k+1 rows per visited block and query
     w = W.partitionBy("qid").orderBy("dist", "rid").rowsBetween(W.unboundedPreceding, 0)
-    found = found.withColumn("_cum", F.sum("w").over(w))
+    return found.withColumn("_cum", F.sum("w").over(w))
+
+
+def knn(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """qid, rid, dist, take: the k nearest reference rows of each query, copies counted in `take`.
+
+    queries: qid, vec. reference: rid, vec, w (see distinct_vectors). With exclude_self one copy of
+    the query's own vector (qid = rid) is left out.
+    """
+    total = reference.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    pivots = _pivots(reference, total)
+    ringed, stats = _rings(_assign(reference, pivots))
+    stats = stats.sort_values(["cell", "ring"], ignore_index=True)
+    stats["at"] = np.arange(len(stats), dtype=np.int32)
+    need = k + (1 if exclude_self else 0)
+    if len(stats) < TWO_STEP_RINGS:
+        found = _search(_visits(queries, pivots, stats, need, "all"), ringed, stats, k, exclude_self)
+    else:
+        near = _search(_visits(queries, pivots, stats, need, "near"), ringed, stats, k, exclude_self).checkpoint()
+        # without k neighbours among the near rings (a tiny reference) nothing may be pruned
+        kth = F.min(F.when(F.col("_cum") >= k, F.col("dist")))
+        theta = _with_counts(near).groupBy("qid").agg(F.coalesce(kth, F.lit(float("inf"))).alias("theta"))
+        rest = _visits(queries.join(theta, "qid"), pivots, stats, need, "rest")
+        found = near.unionByName(_search(rest, ringed, stats, k, exclude_self))
     take = F.least(F.col("w"), F.lit(k) - (F.col("_cum") - F.col("w")))
-    return found.select("qid", "rid", "dist", take.alias("take")).filter("take > 0")
+    return _with_counts(found).select("qid", "rid", "dist", take.alias("take")).filter("take > 0")

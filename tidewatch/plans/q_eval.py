@@ -269,7 +269,7 @@ S["j15_holdout_split"] = f"""WITH {features_sql()} SELECT count(*) AS training_f
 
 def _ladder(s, d):
     e = ev.evidence_ladder(events(s, d), OPS_KEY)
-    f = flow_features(e, PARAMS, key=["evidence", *OPS_KEY])
+    f = flow_features(e, PARAMS, key=["evidence", *OPS_KEY], hot_threshold=None)  # 24 events at most
     return rl.detect_rules(f, T)
 
 

@@ -254,6 +254,27 @@ SELECT 'normalized-csv' AS fmt, count(*) AS rows, count(*) FILTER (issue IS NULL
 UNION ALL SELECT 'zeek-conn', count(*), count(*) FILTER (issue IS NULL AND skip_reason IS NULL) FROM zi
 UNION ALL SELECT 'netflow-ipfix-csv', count(*), count(*) FILTER (issue IS NULL AND skip_reason IS NULL) FROM ni"""
 
+
+
+def _a16(s, d):
+    """The events written as labelled normalized files, read back through a glob and a plain path."""
+    from tidewatch.operators.ranks import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(s)
+    root = f"{s.sparkContext.getCheckpointDir()}/contract/{abs(hash(d))}"
+    n = sk.to_normalized(events(s, d))
+    for name, rows in (("beacon", n.filter("label = 'beacon'")), ("benign", n.filter("label = 'benign'"))):
+        rows.write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
+    back = nm.read_normalized(s, [f"{root}/bea*", f"{root}/benign"], require_label=True)
+    return back.groupBy("label", "protocol").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("total_bytes").alias("total_bytes"), F.min(F.unix_micros("ts")).alias("first_us")
+    )
+
+
+Q["a16_multi_path_input"] = _a16
+S["a16_multi_path_input"] = f"""SELECT label, protocol, count(*) AS events, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, min(t_us) AS first_us
+ FROM ({FLOW_EVENTS_SQL}) GROUP BY ALL"""
+
 # --- A10..A15: bidirectional and research ---------------------------------------------------------
 
 PORT_SQL = """CASE Dport WHEN 'domain' THEN 53 WHEN 'http' THEN 80 WHEN '0x7b' THEN 123 WHEN '-' THEN NULL ELSE CAST(Dport AS INT) END"""

@@ -94,51 +94,40 @@ def start_time(raw: Column) -> Column:
 
 
 def parse_bidir(rows: DataFrame, policy: LabelPolicy = CONSERVATIVE) -> DataFrame:
-    """Text rows -> record columns and `skip_reason`: the label decides first, then the values."""
-
-    def text(name: str) -> Column:
-        return F.trim(F.coalesce(F.col(name), F.lit("")))
-
-    label = text("Label")
-    mapped, category = map_label(label, policy), label_category(label)
-    proto = F.lower(text("Proto"))
-    total, packets, src = loose_int(F.col("TotBytes")), loose_int(F.col("TotPkts")), loose_int(F.col("SrcBytes"))
-    start, dur, port = start_time(F.col("StartTime")), loose_float(F.col("Dur")), service_port(F.col("Dport"))
-    usable = (
-        proto.isin("tcp", "udp")
-        & port.isNotNull()
-        & start.isNotNull()
-        & dur.isNotNull()
-        & packets.isNotNull()
-        & total.isNotNull()
-        & src.isNotNull()
-        & (total >= 0)
-        & (packets >= 0)
-    )
-    reason = F.when(mapped == "skip", F.concat(F.lit("label:"), category)).when(
-        ~F.coalesce(usable, F.lit(False)), "invalid_or_unsupported_schema_value"
-    )
+    """Text rows -> record columns and `skip_reason`: the label decides first, then the values.
+
+    Trim, parse, judge: three steps, so that a value used in several places is computed once.
+    """
     used = [c.lower() for c in BIDIR_COLUMNS]
     keep = [c for c in rows.columns if c.lower() not in used]
-    return rows.select(
+    names = [c for c in BIDIR_COLUMNS if c not in ("sTos", "dTos")]
+    d = rows.select(*keep, *[F.trim(F.coalesce(F.col(n), F.lit(""))).alias(f"_{n}") for n in names])
+    d = d.select(
         *keep,
-        start.alias("ts"),
-        dur.alias("duration_seconds"),
-        proto.alias("protocol"),
-        text("SrcAddr").alias("src_ip"),
-        text("Sport").alias("src_port"),
-        text("Dir").alias("direction"),
-        text("DstAddr").alias("dst_ip"),
-        port.alias("dst_port"),
-        text("State").alias("state"),
-        packets.alias("total_packets"),
-        total.alias("total_bytes"),
-        src.alias("src_bytes"),
-        label.alias("raw_label"),
-        mapped.alias("label"),
-        category.alias("label_category"),
-        reason.alias("skip_reason"),
+        start_time(F.col("_StartTime")).alias("ts"),
+        loose_float(F.col("_Dur")).alias("duration_seconds"),
+        F.lower("_Proto").alias("protocol"),
+        F.col("_SrcAddr").alias("src_ip"),
+        F.col("_Sport").alias("src_port"),
+        F.col("_Dir").alias("direction"),
+        F.col("_DstAddr").alias("dst_ip"),
+        service_port(F.col("_Dport")).alias("dst_port"),
+        F.col("_State").alias("state"),
+        loose_int(F.col("_TotPkts")).alias("total_packets"),
+        loose_int(F.col("_TotBytes")).alias("total_bytes"),
+        loose_int(F.col("_SrcBytes")).alias("src_bytes"),
+        F.col("_Label").alias("raw_label"),
+        map_label(F.col("_Label"), policy).alias("label"),
+        label_category(F.col("_Label")).alias("label_category"),
+    )
+    present = ["dst_port", "ts", "duration_seconds", "total_packets", "total_bytes", "src_bytes"]
+    usable = F.col("protocol").isin("tcp", "udp") & (F.col("total_bytes") >= 0) & (F.col("total_packets") >= 0)
+    for name in present:
+        usable = usable & F.col(name).isNotNull()
+    reason = F.when(F.col("label") == "skip", F.concat(F.lit("label:"), F.col("label_category"))).when(
+        ~F.coalesce(usable, F.lit(False)), "invalid_or_unsupported_schema_value"
     )
+    return d.withColumn("skip_reason", reason)
 
 
 def read_binetflow(
