@@ -9,13 +9,11 @@ from tidewatch.operators import rules as rl
 from tidewatch.operators import scoring as sc
 from tidewatch.operators.features import flow_features
 from tidewatch.plans.common import (
-    INTEGERS,
     KEY,
     PARAMS,
     RULES,
     as_integers,
     events,
-    feature_select,
     feature_sql,
     feature_table,
     features,
@@ -24,7 +22,7 @@ from tidewatch.plans.common import (
     tidy,
 )
 from tidewatch.plans.views import FLOW_EVENTS_SQL
-from tidewatch.schema import ALERT_COLUMNS, FEATURES, FULL_KEY, OPS_KEY, SCORED_COLUMNS, BURST_FEATURES
+from tidewatch.schema import FEATURES, FULL_KEY, OPS_KEY
 
 Q: dict = {}
 S: dict = {}

@@ -13,32 +13,24 @@ from tidewatch.operators import models as md
 from tidewatch.operators import reports as rp
 from tidewatch.operators import rules as rl
 from tidewatch.operators import scoring as sc
-from tidewatch.operators import zscore as zs
 from tidewatch.operators.ranks import ensure_checkpoint_dir
 from tidewatch.plans import jobs
 from tidewatch.plans.common import KEY, PARAMS, RULES, events, feature_table, features_sql, num, stored, tidy
 from tidewatch.plans.q_eval import (
     ALL_SQL,
-    CASES_SQL,
-    COMB_OUT,
     CONF_SQL,
     EVS_SQL,
     MET_OUT,
     MET_SQL,
-    SPREAD_OUT,
     SPLIT_SQL,
     TARGETS,
     all_records,
     cases,
     ladder_records,
-    metrics_sql,
     multi_sql,
 )
-from tidewatch.plans.q_flows import RULED_SQL
 from tidewatch.plans.q_sources import BREC_SQL, bidir_features, native, rule_records
-from tidewatch.plans.views import bidir_text
 from tidewatch.schema import MODEL_FEATURES, OPS_KEY, ZSCORE_FEATURES, AnomalyParams, ModelParams
-from tidewatch.sources import bidirectional as bi
 
 Q: dict = {}
 S: dict = {}

@@ -248,7 +248,7 @@ def _formats(s, d):
 
 
 Q["a09_format_dispatch"] = _formats
-S["a09_format_dispatch"] = f"""WITH {NORM_SQL}, {ZEEK_SQL.split(',', 1)[1] if False else ZEEK_SQL[ZEEK_SQL.index('zk AS'):]},
+S["a09_format_dispatch"] = f"""WITH {NORM_SQL}, {ZEEK_SQL[ZEEK_SQL.index('zk AS'):]},
  {NF_SQL[NF_SQL.index('nf AS'):]}
 SELECT 'normalized-csv' AS fmt, count(*) AS rows, count(*) FILTER (issue IS NULL) AS loaded FROM nm
 UNION ALL SELECT 'zeek-conn', count(*), count(*) FILTER (issue IS NULL AND skip_reason IS NULL) FROM zi
