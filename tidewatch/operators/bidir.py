@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from tidewatch.operators.features import flow_features
 from tidewatch.operators.ranks import group_quantiles, hash_rank, with_rank
 from tidewatch.operators.zscore import stable_key
 from tidewatch.schema import FULL_KEY, FeatureParams
-from tidewatch.sources.bidirectional import LabelPolicy, bidir_events, parse_bidir, records
+from tidewatch.sources.bidirectional import bidir_events, records
 
 c = F.col
 
@@ -116,15 +116,6 @@ def native_features(records_: DataFrame) -> DataFrame:
     )
 
 
-def with_policies(rows: DataFrame, policies: Mapping[str, LabelPolicy]) -> DataFrame:
-    """Parsed records under every policy, `policy_name` as a column: one read of the input."""
-    out = None
-    for name, policy in policies.items():
-        d = parse_bidir(rows, policy).withColumn("policy_name", F.lit(name))
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
 def cap_rows(df: DataFrame, group: Column, n: int | None, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Keep the first n rows of a group in hash order and all other rows; and count the dropped.
 

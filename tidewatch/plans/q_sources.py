@@ -418,7 +418,7 @@ POLICIES = bi.POLICIES
 
 def bidir_features(s, d):
     def make(s, d):
-        return bd.bidir_features(bi.records(bd.with_policies(bidir_text(s, d), POLICIES)), BP, by=["policy_name"])
+        return bd.bidir_features(bi.records(bi.with_policies(bidir_text(s, d), POLICIES)), BP, by=["policy_name"])
 
     return stored(s, d, "bidir_features", make)
 
@@ -548,7 +548,7 @@ SELECT concat('test_', t.s) AS fold_name, t.s AS test_scenario, CASE WHEN scenar
 
 
 def _l13(s, d):
-    parsed = bd.with_policies(bidir_text(s, d), POLICIES)
+    parsed = bi.with_policies(bidir_text(s, d), POLICIES)
     f = bidir_features(s, d)
     kept, dropped = bd.cap_rows(f, bd.is_background(), 10_000, ["policy_name", "ctu_scenario"])
     rec = bd.transfer_records(rl.detect_rules(kept, RULES), F.lit("threshold=2.2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,16 +93,14 @@ def start_time(raw: Column) -> Column:
     return out
 
 
-def parse_bidir(rows: DataFrame, policy: LabelPolicy = CONSERVATIVE) -> DataFrame:
-    """Text rows -> record columns and `skip_reason`: the label decides first, then the values.
-
-    Trim, parse, judge: three steps, so that a value used in several places is computed once.
-    """
+def parse_values(rows: DataFrame) -> DataFrame:
+    """Text rows -> record columns, whatever the label policy. Trimming and parsing are two steps,
+    so that a value used in several places is computed once."""
     used = [c.lower() for c in BIDIR_COLUMNS]
     keep = [c for c in rows.columns if c.lower() not in used]
     names = [c for c in BIDIR_COLUMNS if c not in ("sTos", "dTos")]
     d = rows.select(*keep, *[F.trim(F.coalesce(F.col(n), F.lit(""))).alias(f"_{n}") for n in names])
-    d = d.select(
+    return d.select(
         *keep,
         start_time(F.col("_StartTime")).alias("ts"),
         loose_float(F.col("_Dur")).alias("duration_seconds"),
@@ -117,9 +115,12 @@ def parse_bidir(rows: DataFrame, policy: LabelPolicy = CONSERVATIVE) -> DataFram
         loose_int(F.col("_TotBytes")).alias("total_bytes"),
         loose_int(F.col("_SrcBytes")).alias("src_bytes"),
         F.col("_Label").alias("raw_label"),
-        map_label(F.col("_Label"), policy).alias("label"),
         label_category(F.col("_Label")).alias("label_category"),
     )
+
+
+def judge(d: DataFrame) -> DataFrame:
+    """Adds `skip_reason`: the mapped label decides first, then the values."""
     present = ["dst_port", "ts", "duration_seconds", "total_packets", "total_bytes", "src_bytes"]
     usable = F.col("protocol").isin("tcp", "udp") & (F.col("total_bytes") >= 0) & (F.col("total_packets") >= 0)
     for name in present:
@@ -130,6 +131,20 @@ def parse_bidir(rows: DataFrame, policy: LabelPolicy = CONSERVATIVE) -> DataFram
     return d.withColumn("skip_reason", reason)
 
 
+def parse_bidir(rows: DataFrame, policy: LabelPolicy = CONSERVATIVE) -> DataFrame:
+    """Text rows -> record columns with the mapped label and `skip_reason`."""
+    return judge(parse_values(rows).withColumn("label", map_label(F.col("raw_label"), policy)))
+
+
+def with_policies(rows: DataFrame, policies: Mapping[str, LabelPolicy]) -> DataFrame:
+    """Records under every policy, `policy_name` as a column: values are parsed once."""
+    d = parse_values(rows)
+    raw = F.col("raw_label")
+    cells = [F.struct(F.lit(n).alias("policy_name"), map_label(raw, p).alias("label")) for n, p in policies.items()]
+    d = d.select("*", F.explode(F.array(*cells)).alias("_p")).select("*", "_p.policy_name", "_p.label").drop("_p")
+    return judge(d)
+
+
 def read_binetflow(
     spark: SparkSession,
     path: str | Sequence[str],
