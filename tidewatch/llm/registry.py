@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import contamination, line_dedup, sharding, urls
+from tidewatch.llm import contamination, line_dedup, sharding, tokens, urls
+from tidewatch.llm.files import new_path
 from tidewatch.session import tune
 
 QUERIES: dict = {}
@@ -90,3 +92,11 @@ r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY ke
 j AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.last AS gone FROM k LEFT JOIN r ON k.key = r.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
+@query
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-blocks")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    tokens.write_blocks(table(spark, sf_dir, "documents"), path, lambda: tokens.Encoder(vocabulary))
+    return tokens.read_documents(spark, path, with_ids=False).withColumnRenamed("key", "doc_id")
