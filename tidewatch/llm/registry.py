@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import contamination, line_dedup, sharding, tokens, urls
+from tidewatch.llm import contamination, line_dedup, sharding, tokens, toxicity, urls
 from tidewatch.llm.files import new_path
 from tidewatch.session import tune
 
@@ -100,3 +100,9 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     tokens.write_blocks(table(spark, sf_dir, "documents"), path, lambda: tokens.Encoder(vocabulary))
     return tokens.read_documents(spark, path, with_ids=False).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
