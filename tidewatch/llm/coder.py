@@ -18,13 +18,13 @@ import numpy as np
 
 MAGIC = b"TWC1"
 HEAD = "<4sQIIIII"  # magic, ids, lanes, steps, vocabulary, crc of the ids, crc of the rest
-LANES, MIN_STEPS = 2048, 64
+LANES, MIN_STEPS = 4096, 64
 GATE_BITS, MAX_VOCABULARY = 12, 1 << 18
 _TOP = np.uint64(1 << 32)
 _LOW = np.uint64((1 << 32) - 1)
 _WORD = np.uint64(32)
 _CONTEXTS, _SURE = 128, 7
-_PAIRS = 18  # bits of the order-2 table
+_PAIRS = 17  # bits of the order-2 table
 
 
 class Model:
@@ -32,10 +32,11 @@ class Model:
         self.v = vocabulary
         self.bits = max(16, int(vocabulary).bit_length() + 2)
         none = vocabulary
-        self.pred1, self.sure1 = np.full(vocabulary + 1, none, np.int64), np.zeros(vocabulary + 1, np.int64)
-        self.pred2, self.sure2 = np.full(1 << _PAIRS, none, np.int64), np.zeros(1 << _PAIRS, np.int64)
+        # an id and, in the low three bits, its confidence
+        self.table1, self.table2 = np.full(vocabulary + 1, none << 3, np.int32), np.full(1 << _PAIRS, none << 3, np.int32)
         self.gate = np.tile(np.array([1, 1, 2], np.int64), (_CONTEXTS, 1))
         self.count = np.zeros(vocabulary, np.int64)
+        self.late: list[np.ndarray] = []  # ids that the counts do not have yet
         self.step = 0
         self._spread()
         self._weigh()
@@ -43,6 +44,9 @@ class Model:
     def _spread(self) -> None:
         """Cumulative order-0 frequencies, every id at least one, 2^bits in all."""
         room = (1 << self.bits) - self.v
+        if self.late:
+            self.count += np.bincount(np.concatenate(self.late), minlength=self.v)
+            self.late = []
         self.cum = np.arange(self.v + 1, dtype=np.int64)
         total = int(self.count.sum())
         if total:
@@ -66,19 +70,18 @@ class Model:
     def predict(self, prev2: np.ndarray, prev1: np.ndarray) -> None:
         self.at1 = prev1
         self.at2 = ((prev2 * 0x9E3779B1 + prev1 * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - _PAIRS)
-        self.c1, self.c2 = self.pred1[prev1], self.pred2[self.at2]
-        self.f1, self.f2 = self.sure1[prev1], self.sure2[self.at2]
+        p1, p2 = self.table1[prev1], self.table2[self.at2]
+        self.c1, self.c2, self.f1, self.f2 = p1 >> 3, p2 >> 3, p1 & 7, p2 & 7
         self.context = (self.f2 << 4) | (self.f1 << 1) | (self.c1 == self.c2)
 
     def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        np.add.at(self.gate.ravel(), self.context * 3 + kind, 1)
-        for pred, sure, at, c, f in ((self.pred1, self.sure1, self.at1, self.c1, self.f1), (self.pred2, self.sure2, self.at2, self.c2, self.f2)):
+        self.gate += np.bincount(self.context * 3 + kind, minlength=3 * _CONTEXTS).reshape(_CONTEXTS, 3)
+        for table, at, c, f in ((self.table1, self.at1, self.c1, self.f1), (self.table2, self.at2, self.c2, self.f2)):
             hit = c == ids
             # a sure prediction loses confidence before it is replaced
-            new = ~hit & (f <= 1)
-            sure[at] = np.where(hit, np.minimum(f + 1, _SURE), np.where(new, 1, f - 1))
-            pred[at] = np.where(new, ids, c)
-        np.add.at(self.count, ids[kind == 2], 1)
+            kept = (c << 3) | np.where(hit, np.minimum(f + 1, _SURE), f - 1)
+            table[at] = np.where(hit | (f > 1), kept, (ids << 3) | 1)
+        self.late.append(ids[kind == 2])
         self.step += 1
         if self.step % 16 == 0 or self.step in (1, 2, 4, 8):
             self._spread()
@@ -114,7 +117,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     if ids.min() < 0 or ids.max() >= vocabulary:
         raise ValueError("an id is outside the vocabulary")
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Model(vocabulary)
@@ -180,7 +183,7 @@ def decode(block: bytes) -> np.ndarray:
     at = np.full(lanes, 2, np.int64)
     prev2 = np.full(lanes, vocabulary, np.int64)
     prev1 = prev2.copy()
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
         live = lanes if lanes * steps == n else len(range(t, n, steps))
         model.predict(prev2[:live], prev1[:live])

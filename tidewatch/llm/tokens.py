@@ -24,14 +24,23 @@ from tidewatch.llm import coder
 
 BLOCK_IDS = 1 << 20
 _WORD_END = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
 class Encoder:
     """Ids of whole texts from a tokenizer file, remembering words.
 
     The tokenizer drops white space and looks at no text across it, so a text's ids are those of its
-    words. Letters followed by ASCII punctuation are two words to it as well. The memory is bounded
-    and changes no result.
+    words. Letters followed by ASCII punctuation are two words to it as well. A word of Latin letters
+    is one piece to its splitting rule and needs only the model. The memory is bounded and changes
+    no result.
     """
 
     def __init__(self, path: str, remember: int = 600_000):
@@ -39,6 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -55,6 +65,11 @@ class Encoder:
                 p[0] = p[0].lower()
             split[w] = p
         new = list({x for p in split.values() for x in p}.difference(self.parts))
+        plain = [x for x in new if _LATIN.fullmatch(x)]
+        for x in plain:
+            letters = x.lower().encode().decode("latin-1").translate(self.letters)
+            self.parts[x] = np.array([p.id for p in self.model.tokenize(letters)], "<u4").tobytes()
+        new = list(set(new).difference(plain))
         for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.parts[x] = np.array(e.ids, "<u4").tobytes()
         for w, p in split.items():
