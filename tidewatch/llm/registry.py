@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import contamination, embeddings, jaccard, line_dedup, sharding, tokens, toxicity, urls
+from tidewatch.llm import contamination, embeddings, jaccard, line_dedup, pieces, sharding, tokens, toxicity, urls
 from tidewatch.llm.files import new_path
 from tidewatch.session import tune
 
@@ -139,3 +139,11 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 m AS (SELECT a, min(b) AS c FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
 FROM embeddings JOIN m ON m.a = vec_id LEFT JOIN k ON k.a = vec_id"""
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = pieces.decode_pieces(pieces.encode_pieces(docs, vocabulary, keep=["doc_id"]), vocabulary)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
