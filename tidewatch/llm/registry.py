@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import contamination, embeddings, jaccard, line_dedup, pieces, sharding, tokens, toxicity, urls
+from tidewatch.llm import contamination, embeddings, jaccard, licenses, line_dedup, pieces, sharding, tokens, toxicity, urls
 from tidewatch.llm.files import new_path
 from tidewatch.session import tune
 
@@ -147,3 +147,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = pieces.decode_pieces(pieces.encode_pieces(docs, vocabulary, keep=["doc_id"]), vocabulary)
     return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_families(table(spark, sf_dir, "documents").select("doc_id", "text"))
