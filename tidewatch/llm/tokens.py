@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from tidewatch.llm import coder
 
 BLOCK_IDS = 1 << 20
+_ASCII = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _WORD_END = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _LATIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
@@ -51,29 +53,40 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > self.remember:
-            self.known, self.parts = {}, {}
-        split = {}
+            self.known, self.parts, self.others = {}, {}, {}
+        parts, known, model = self.parts, self.known, self.model.tokenize
+        rest: dict[bytes, list[str]] = {}
         for w in words:
+            if m := _ASCII(w):
+                letters, end = m.groups()
+                letters = letters.lower()
+                if (x := parts.get(letters)) is None:
+                    parts[letters] = x = array("I", [p.id for p in model(letters.decode())]).tobytes()
+                if not end:
+                    known[w] = x
+                    continue
+                if (y := parts.get(end)) is not None:
+                    known[w] = x + y
+                    continue
             t = w.decode()
             m = _WORD_END.fullmatch(t)
-            p = list(m.groups()) if m and "İ" not in t else [t]
-            if p[0].isascii():
-                p[0] = p[0].lower()
-            split[w] = p
-        new = list({x for p in split.values() for x in p}.difference(self.parts))
-        plain = [x for x in new if _LATIN.fullmatch(x)]
-        for x in plain:
+            rest[w] = list(m.groups()) if m and "İ" not in t else [t]
+        new = {x for p in rest.values() for x in p}.difference(self.others)
+        for x in [x for x in new if _LATIN.fullmatch(x)]:
             letters = x.lower().encode().decode("latin-1").translate(self.letters)
-            self.parts[x] = np.array([p.id for p in self.model.tokenize(letters)], "<u4").tobytes()
-        new = list(set(new).difference(plain))
+            self.others[x] = array("I", [p.id for p in model(letters)]).tobytes()
+        new = list(new.difference(self.others))
         for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[x] = np.array(e.ids, "<u4").tobytes()
-        for w, p in split.items():
-            self.known[w] = b"".join([self.parts[x] for x in p])
+            self.others[x] = array("I", e.ids).tobytes()
+            if x.isascii():
+                parts[x.encode()] = self.others[x]
+        for w, p in rest.items():
+            known[w] = b"".join([self.others[x] for x in p])
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
@@ -95,7 +108,7 @@ def write_blocks(
     has a block to itself. An empty table writes no block.
     """
     spark = docs.sparkSession
-    n = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = docs.rdd.getNumPartitions()  # large parts repeat more words
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange(n, "key", "h").sortWithinPartitions("key", "h").select("key", "text")
     kind = docs.schema[key].dataType.simpleString()
