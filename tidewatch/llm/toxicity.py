@@ -175,7 +175,7 @@ def fit_curve(values: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.n
     perfect split has a finite curve. Without both labels the slopes are 0."""
     pos, neg = float(weight[label == 1].sum()), float(weight[label == 0].sum())
     w = np.zeros(values.shape[1] + 1)
-    w[-1] = np.log((pos + 1) / (neg + 1))
+    w[-1] = np.log((pos + 1) / (neg + 2))  # nothing known: not toxic
     if not pos or not neg:
         return w
     y = np.where(label == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
