@@ -161,7 +161,7 @@ def bidir_features(
 def bidir_dataset(
     parsed: DataFrame,
     params: FeatureParams = FeatureParams(),
-    max_background: int | None = 10_000,
+    max_background: int | None = None,
     fraction: float = 0.5,
 ) -> DataFrame:
     """Records -> flows -> features -> cap -> split, per scenario."""

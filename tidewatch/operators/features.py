@@ -86,8 +86,7 @@ def flow_features(
     if hot_keys is None:
         out = _window_path(ev, params, key)
     else:
-        side = F.broadcast(hot_keys)
-        plain = ev.join(side.select(*key), key, "left_anti")
+        plain = ev.join(hot.few(hot_keys.select(*key)), key, "left_anti")
         busy = hot.with_hot_keys(ev, hot_keys, key)
         out = _window_path(plain, params, key).unionByName(hot.sliced_path(busy, params, key))
     out = finish_features(out)

@@ -1,9 +1,9 @@
 """Features of flows too large for one task.
 
-A flow with a large share of all events is cut into time cells (for order) and value cells (for
-order statistics). Rows are counted per distinct value before they move, windows run inside a
+A flow of very many events is cut into slices of consecutive timestamps (for order) and value cells
+(for order statistics). Rows are counted per distinct value before they move, windows run inside a
 cell, and a table with one row per cell carries what a cell must know about the cells before it.
-Scalars of a whole flow live in a table of at most MAX_HOT_KEYS rows.
+Slices are cut by rank, so a burst of any density is spread over as many as it needs.
 """
 
 from __future__ import annotations
@@ -20,19 +20,19 @@ from tidewatch.schema import FeatureParams
 
 # A flow above this many events is cut into cells.
 HOT_EVENTS = 1_000_000
-# The busiest keys only: a flow outside this list holds at most 1/10,000 of all events, and the
-# list is small enough to broadcast whatever the input size.
-MAX_HOT_KEYS = 10_000
-# Distinct timestamps wanted per time cell.
+# Tables with a row for each hot flow are broadcast up to this many rows, and joined by key above.
+BROADCAST_KEYS = 10_000
+# Distinct timestamps wanted per slice.
 CELL_EVENTS = 100_000
 
 
 def find_hot_keys(events: DataFrame, key: Sequence[str], threshold: int) -> DataFrame | None:
-    """The keys above the threshold, busiest first, at most MAX_HOT_KEYS; None when there are none.
+    """The keys above the threshold; None when there are none.
 
-    One pass over the key columns with map-side counts. The list is collected because its size is
-    bounded, and it decides the plan.
+    One pass over the key columns with map-side counts. Every such key is listed, and the list is
+    written down: it decides the plan and several steps read it.
     """
+    ensure_checkpoint_dir(events.sparkSession)
     top = (
         events.groupBy(*key)
         .agg(
@@ -41,19 +41,19 @@ def find_hot_keys(events: DataFrame, key: Sequence[str], threshold: int) -> Data
             F.max("t_us").alias("end_us"),
         )
         .filter(F.col("event_count") > threshold)
-        .orderBy(F.desc("event_count"), *key)
-        .limit(MAX_HOT_KEYS)
-    )
-    rows = top.collect()
-    if not rows:
-        return None
-    return events.sparkSession.createDataFrame(rows, top.schema)
+    ).checkpoint()
+    return None if top.isEmpty() else top
+
+
+def few(per_key: DataFrame) -> DataFrame:
+    """A table with one row per hot flow, broadcast where its rows are few."""
+    return F.broadcast(per_key) if per_key.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else per_key
 
 
 def with_hot_keys(events: DataFrame, hot_keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """Events of the hot keys, with the size and time span of their flow."""
     names = {"event_count": "_n", "start_us": "_t0", "end_us": "_t1"}
-    return events.join(F.broadcast(hot_keys.withColumnsRenamed(names)), list(key))
+    return events.join(few(hot_keys.withColumnsRenamed(names)), list(key))
 
 
 def value_cell(v: Column) -> Column:
@@ -115,14 +115,13 @@ def _gap_runs(busy: DataFrame, key: list[str]) -> DataFrame:
     """The flow's gaps in order, run-length coded: (slice, t_us, sub, gap_us, c).
 
     Events with one timestamp are counted before they move. A timestamp with c events gives one
-    gap to the timestamp before it and c-1 gaps of zero.
+    gap to the timestamp before it and c-1 gaps of zero. A slice is a range of the flows' distinct
+    timestamps with about CELL_EVENTS of them, wherever in time those lie.
     """
-    width = F.greatest(
-        F.lit(1),
-        F.floor((F.col("_t1") - F.col("_t0") + 1) * F.lit(float(CELL_EVENTS)) / F.col("_n")).cast("bigint"),
-    )
-    slice_ = F.floor((F.col("t_us") - F.col("_t0")) / width)
-    times = busy.groupBy(*key, slice_.alias("slice"), "t_us").agg(F.count(F.lit(1)).alias("c"))
+    ensure_checkpoint_dir(busy.sparkSession)
+    times = busy.groupBy(*key, "t_us").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+    n = -(-times.count() // CELL_EVENTS) or 1
+    times = times.repartitionByRange(n, *key, "t_us").withColumn("slice", F.spark_partition_id()).checkpoint()
     edges = (
         times.groupBy(*key, "slice")
         .agg(F.max("t_us").alias("_last"))
@@ -254,7 +253,7 @@ def _gap_stats(runs: DataFrame, p: FeatureParams, key: list[str]) -> DataFrame:
         F.sum("c").alias("_n_gaps"),
         F.sum(F.when(seconds(F.col("gap_us")) <= thr, F.col("c")).otherwise(0)).alias("_n_in"),
     )
-    v = v.join(F.broadcast(sizes), key)  # at most MAX_HOT_KEYS rows
+    v = v.join(few(sizes), key)
     half = F.floor(n / 2)
     trim = F.floor(n * F.lit(p.trim_fraction))
     trims = (trim > 0) & (n - 2 * trim >= 2)
@@ -274,7 +273,7 @@ def _gap_stats(runs: DataFrame, p: FeatureParams, key: list[str]) -> DataFrame:
         F.when(F.first("_n_in") > 0, _median(F.lit(0), F.col("_n_in"), gap)).alias("_burst_med"),
         (F.sum(gap * F.col("kept")) / F.sum("kept")).alias("_trim_mean"),
     )
-    v = v.join(F.broadcast(center.drop("_n_gaps", "_n_in")), key).checkpoint()
+    v = v.join(few(center.drop("_n_gaps", "_n_in")), key).checkpoint()
     center = v.select(*key, "_n_gaps", *[c for c in center.columns if c not in (*key, "_n_gaps", "_n_in")]).distinct()
     med = F.col("median_interarrival_seconds")
 
@@ -342,10 +341,10 @@ def _gap_stats(runs: DataFrame, p: FeatureParams, key: list[str]) -> DataFrame:
     )
     # every part has one row per hot flow
     return center.drop("_burst_med", "_trim_mean").join(
-        F.broadcast(center.select(*key, "_trim_mean")), key
-    ).join(F.broadcast(spread), key).join(F.broadcast(mad), key).join(
-        F.broadcast(bins), key
-    ).join(F.broadcast(band), key)
+        few(center.select(*key, "_trim_mean")), key
+    ).join(few(spread), key).join(few(mad), key).join(
+        few(bins), key
+    ).join(few(band), key)
 
 
 def _size_stats(busy: DataFrame, p: FeatureParams, key: list[str]) -> DataFrame:
@@ -353,14 +352,14 @@ def _size_stats(busy: DataFrame, p: FeatureParams, key: list[str]) -> DataFrame:
     v = _running(counted, key, "size_bytes", ["size_bytes"], {"cum": "c"})
     size, c = F.col("size_bytes"), F.col("c")
     totals = counted.groupBy(*key).agg(F.sum("c").alias("_n_sizes"))
-    v = v.join(F.broadcast(totals), key)
+    v = v.join(few(totals), key)
     center = v.groupBy(*key, "_n_sizes").agg(
         (F.sum(size * c) / F.sum("c")).alias("mean_size_bytes"),
         _median(F.lit(0), F.col("_n_sizes"), size).alias("median_size_bytes"),
         F.min("size_bytes").alias("_size_min"),
         F.max("size_bytes").alias("_size_max"),
     ).drop("_n_sizes")
-    v = v.join(F.broadcast(center), key)
+    v = v.join(few(center), key)
     med = F.col("median_size_bytes")
     near = F.sum(F.when(within(size, med, p.size_tolerance), c).otherwise(0))
     spread = v.groupBy(*key).agg(
@@ -369,7 +368,7 @@ def _size_stats(busy: DataFrame, p: FeatureParams, key: list[str]) -> DataFrame:
     )
     width = F.greatest(F.lit(p.minimum_bin_width), F.abs(med) * F.lit(p.relative_bin_width))
     bins = _bins(v, key, half_even(size / width), "_size_bin_top", "size_bin_count")
-    return center.join(F.broadcast(spread), key).join(F.broadcast(bins), key)
+    return center.join(few(spread), key).join(few(bins), key)
 
 
 def sliced_path(busy: DataFrame, p: FeatureParams, key: list[str]) -> DataFrame:
@@ -382,5 +381,5 @@ def sliced_path(busy: DataFrame, p: FeatureParams, key: list[str]) -> DataFrame:
     runs = _gap_runs(busy, key).checkpoint()  # read by several aggregations below
     out = base
     for part in (_gap_stats(runs, p, key), _sequence_stats(runs, p, key), _size_stats(busy, p, key)):
-        out = out.join(F.broadcast(part), key, "left")
+        out = out.join(few(part), key, "left")
     return out.fillna({"burst_count": 0, "_n_gaps": 0, "_burst_seconds": 0.0})

@@ -190,11 +190,13 @@ def fold_count(rows: DataFrame, requested: int) -> tuple[int, str | None]:
 
 
 def kfold(rows: DataFrame, k: int) -> DataFrame:
-    """Adds `fold` from 1: each label dealt out in hash order of the flow key. A flow key has one
-    row, so groups never straddle folds."""
+    """Adds `fold` from 1: the distinct flow keys of each label dealt out in hash order, so that all
+    rows of a key are in one fold. A key with both labels goes with `beacon`, the smaller text."""
     d = rows.withColumn("_h", F.sha2(flow_key_text(), 256))
-    d = hash_rank(d, "_h", "_rank", "_n", ["label"])
-    return d.withColumn("fold", ((c("_rank") - 1) % k + 1).cast("int")).drop("_h", "_rank", "_n")
+    keys = d.groupBy("_h").agg(F.min("label").alias("label"))
+    dealt = hash_rank(keys, "_h", "_rank", "_n", ["label"])
+    dealt = dealt.select("_h", ((c("_rank") - 1) % k + 1).cast("int").alias("fold"))
+    return d.join(dealt, "_h").drop("_h")
 
 
 def out_of_fold(folded: DataFrame, k: int, kind: str = "random_forest", p: ModelParams = ModelParams()) -> DataFrame:

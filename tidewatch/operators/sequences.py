@@ -25,7 +25,7 @@ def _gap_rows(ev: DataFrame, key: list[str], threshold: int) -> DataFrame:
     busy_keys = hot.find_hot_keys(ev, key, threshold)
     plain = ev
     if busy_keys is not None:
-        plain = ev.join(F.broadcast(busy_keys.select(*key)), key, "left_anti")
+        plain = ev.join(hot.few(busy_keys.select(*key)), key, "left_anti")
     rows = plain.select(*key, "t_us", (F.col("t_us") - lag).alias("gap_us")).filter("gap_us IS NOT NULL")
     if busy_keys is None:
         return rows
@@ -49,7 +49,7 @@ def bursts(
     busy_keys = hot.find_hot_keys(ev, key, hot_threshold)
     plain = ev
     if busy_keys is not None:
-        plain = ev.join(F.broadcast(busy_keys.select(*key)), key, "left_anti")
+        plain = ev.join(hot.few(busy_keys.select(*key)), key, "left_anti")
     w = W.partitionBy(*key).orderBy("t_us")
     limit = F.lit(float(threshold_seconds))
     d = plain.select(*key, "t_us", ((F.col("t_us") - F.lag("t_us").over(w)) / F.lit(1e6)).alias("gap"))

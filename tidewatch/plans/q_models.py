@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -99,9 +98,9 @@ def multi_anomaly(s, d):
     def make(s, d):
         f = cases(feature_table(s, d))
         out = None
-        for seed in range(2):
+        for seed in range(5):
             rows = f.filter(F.col("seed") == seed)
-            for det in (an.detect_lof(rows, AP), an.detect_iforest(rows, replace(AP, trees=50))):
+            for det in (an.detect_lof(rows, AP), an.detect_iforest(rows, AP)):
                 r = ev.prediction_records(det, ["case_name", "seed"])
                 out = r if out is None else out.unionByName(r)
         return out
@@ -331,7 +330,7 @@ def native_predictions(s, d):
 Q["l10_native_supervised"] = lambda s, d: tidy(
     ev.classification_metrics(native_predictions(s, d), ["detector_name", "test_scenario"])
 )
-Q["l11_importance_rows"] = lambda s, d: tidy(jobs.native_supervised(native_rows(s, d), ["logistic_regression"], SMALL)[1])
+Q["l11_importance_rows"] = lambda s, d: tidy(jobs.native_supervised(native_rows(s, d), p=SMALL)[1])
 Q["l12_score_one_file"] = lambda s, d: tidy(
     jobs.score_bidir(
         native_rows(s, d).filter("scenario_name <> 'scenario_2'"),

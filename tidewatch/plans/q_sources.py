@@ -442,18 +442,18 @@ SPLIT_L = """{src}, rk AS (SELECT *, row_number() OVER (PARTITION BY ctu_scenari
  count(*) OVER (PARTITION BY ctu_scenario, label) AS nn FROM {t}),
 sp AS (SELECT *, CASE WHEN label='benign' AND rank <= greatest(2, CAST(floor(nn*0.5::DOUBLE) AS BIGINT)) THEN 'reference' ELSE 'evaluation' END AS role FROM rk)"""
 BACK = "(label='benign' AND scenario_name LIKE '%:ctu13_background')"
+ALL_L01 = f"""{BIDIR_FF}, cp AS (SELECT * FROM bk WHERE policy_name='background_as_benign_sensitivity')"""
 CAPPED = f"""{BIDIR_FF}, cp0 AS (SELECT *, row_number() OVER (PARTITION BY ctu_scenario, {BACK} ORDER BY row_key) AS cr FROM bk
  WHERE policy_name='background_as_benign_sensitivity'), cp AS (SELECT * FROM cp0 WHERE NOT {BACK} OR cr <= 40)"""
 
 
 def _l01(s, d):
-    f = bidir_features(s, d).filter("policy_name = 'background_as_benign_sensitivity'").drop("policy_name")
-    kept, _ = bd.cap_rows(f, bd.is_background(), 40, ["ctu_scenario"])
-    return bd.split_reference_eval(kept, 0.5, ["ctu_scenario"]).select(*BKEY, "scenario_name", "label", "event_count", "role")
+    parsed = bi.parse_bidir(bidir_text(s, d), bi.BACKGROUND_AS_BENIGN)
+    return bd.bidir_dataset(parsed, BP, fraction=0.5).select(*BKEY, "scenario_name", "label", "event_count", "role")
 
 
 Q["l01_bidir_dataset"] = _l01
-S["l01_bidir_dataset"] = f"WITH {SPLIT_L.format(src=CAPPED, t='cp')} SELECT {BK}, scenario_name, label, event_count, role FROM sp"
+S["l01_bidir_dataset"] = f"WITH {SPLIT_L.format(src=ALL_L01, t='cp')} SELECT {BK}, scenario_name, label, event_count, role FROM sp"
 Q["l01_bidir_features"] = lambda s, d: tidy(
     as_integers(bd.bidir_features(bi.records(bi.parse_bidir(bidir_text(s, d))), BP).select(*BKEY, "label", "scenario_name", *FEATURES))
 )
@@ -550,7 +550,7 @@ SELECT concat('test_', t.s) AS fold_name, t.s AS test_scenario, CASE WHEN scenar
 def _l13(s, d):
     parsed = bi.with_policies(bidir_text(s, d), POLICIES)
     f = bidir_features(s, d)
-    kept, dropped = bd.cap_rows(f, bd.is_background(), 10_000, ["policy_name", "ctu_scenario"])
+    kept, dropped = bd.cap_rows(f, bd.is_background(), None, ["policy_name", "ctu_scenario"])
     rec = bd.transfer_records(rl.detect_rules(kept, RULES), F.lit("threshold=2.2"))
     return tidy(bd.policy_sensitivity(rec, bd.policy_counts(parsed, kept, dropped)))
 
@@ -558,9 +558,11 @@ def _l13(s, d):
 Q["l13_policy_sensitivity"] = _l13
 S["l13_policy_sensitivity"] = f"""WITH {BREC_SQL}, m AS (SELECT *, {MET_SQL} FROM (SELECT policy_name, detector_name, operating_point, {CONF_SQL},
  count(*) AS feature_rows FROM rec GROUP BY policy_name, detector_name, operating_point)),
-p AS (SELECT policy_name, count(*) FILTER (skip_reason IS NULL) AS parsed_events, count(*) FILTER (skip_reason IS NOT NULL) AS skipped_rows FROM pb GROUP BY policy_name)
+p AS (SELECT policy_name, count(*) FILTER (skip_reason IS NULL) AS parsed_events, count(*) FILTER (skip_reason IS NOT NULL) AS skipped_rows FROM pb GROUP BY policy_name),
+g AS (SELECT policy_name, count(*) FILTER ({BACK}) AS background FROM bf GROUP BY policy_name),
+h AS (SELECT policy_name, count(*) FILTER (true_label='benign' AND scenario_name LIKE '%:ctu13_background') AS evaluated FROM rec GROUP BY policy_name)
 SELECT policy_name, detector_name, operating_point, tp, fp, tn, fn, {MET_OUT}, parsed_events, skipped_rows, feature_rows,
- CAST(0 AS BIGINT) AS capped_background_benign_flows FROM m JOIN p USING (policy_name)"""
+ background - evaluated AS capped_background_benign_flows FROM m JOIN p USING (policy_name) JOIN g USING (policy_name) JOIN h USING (policy_name)"""
 Q["l14_scenario_rollup"] = lambda s, d: tidy(bd.scenario_rollup(rule_records(s, d), ["policy_name", "detector_name", "operating_point"]))
 S["l14_scenario_rollup"] = f"""WITH {BREC_SQL} SELECT policy_name, detector_name, operating_point, ctu_scenario, label_group, tp, fp, tn, fn, flow_count, {MET_OUT}
  FROM (SELECT *, {MET_SQL} FROM (SELECT policy_name, detector_name, operating_point, ctu_scenario,

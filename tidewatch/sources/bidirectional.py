@@ -68,8 +68,8 @@ def service_port(raw: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in SERVICE_PORTS.items() for x in kv])
     plain = F.when(t.rlike(r"^[+-]?(0+|[1-9][0-9]*)$"), t)
     based = (
-        F.when(t.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(t, 3, 40), 16, 10))
-        .when(t.rlike("^0o[0-7]+$"), F.conv(F.substring(t, 3, 40), 8, 10))
+        F.when(t.rlike("^0x[0-9a-f]+$"), F.conv(F.substr(t, F.lit(3)), 16, 10))
+        .when(t.rlike("^0o[0-7]+$"), F.conv(F.substr(t, F.lit(3)), 8, 10))
         .when(t.rlike("^0b[01]+$"), F.conv(F.substring(t, 3, 80), 2, 10))
     )
     return F.coalesce(F.try_element_at(names, t), F.coalesce(plain, based).try_cast("int"))
@@ -150,15 +150,12 @@ def read_binetflow(
     path: str | Sequence[str],
     scenario_name: str,
     policy: LabelPolicy = CONSERVATIVE,
-    max_rows: int | None = None,
 ) -> DataFrame:
-    """Records of one scenario with their skip reason; `max_rows` reads only the first rows."""
+    """Records of one scenario with their skip reason."""
     rows = read_rows(spark, path)
     missing = [c for c in BIDIR_COLUMNS if c not in rows.columns]
     if missing:
         raise ValueError(f"CTU-13 file is missing required columns: {missing}")
-    if max_rows is not None:
-        rows = rows.limit(max_rows)
     rows = rows.drop("_block", "_order")
     return parse_bidir(rows, policy).withColumn("scenario_name", F.lit(scenario_name))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,13 +100,39 @@ def validate_normalized(
     return issues, counts
 
 
+def header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The column names in the first line of a file; none in an empty one."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(path)
+    stream = codec.createInputStream(stream) if codec is not None else stream
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "utf-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), [])) if line else ()
+
+
 def read_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """A header CSV as text columns. All files must share one header; globs expand."""
+    """Header CSV files as text columns; globs and folders expand.
+
+    Quotes inside a quoted field are doubled and a backslash is an ordinary character. Every file has
+    its own header: files of one header are read together, and a column that a file lacks is null.
+    The driver reads the first line of each file, as it lists the files anyway.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    names = spark.read.option("header", True).csv(paths[0]).columns
-    schema = ", ".join(f"`{n}` string" for n in names)
-    reader = spark.read.option("header", True).option("enforceSchema", False).schema(schema)
-    return tx.with_place(reader.csv(paths))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file in spark.read.text(paths).inputFiles():
+        layouts.setdefault(header(spark, file), []).append(file)
+    out = None
+    for names, files in layouts.items() or [((), paths)]:
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        reader = spark.read.option("header", True).option("escape", '"').schema(schema) if names else spark.read
+        rows = tx.with_place(reader.csv(files) if names else reader.text(files).drop("value"))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    places = ["source_file", "_block", "_order"]
+    return out.select(*[c for c in out.columns if c not in places], *places)
 
 
 def read_normalized(
