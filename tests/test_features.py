@@ -199,3 +199,30 @@ def test_mixed_labels(events):
     assert flow_features(e, mixed="keep").first()["label"] is None
     with pytest.raises(Exception, match="Mixed-label flow"):
         flow_features(e, mixed="reject").collect()
+
+
+def test_a_dense_burst_is_spread(events, monkeypatch):
+    """99% of a flow's events in one burst: no slice above three times the target."""
+    from tidewatch.operators import hot_flows
+
+    monkeypatch.setattr(hot_flows, "CELL_EVENTS", 50)
+    rows = [("h", "d", i * 0.001, 100) for i in range(990)] + [("h", "d", 1000.0 * i, 100) for i in range(1, 11)]
+    busy = hot_flows.with_hot_keys(events(rows), hot_flows.find_hot_keys(events(rows), list(OPS_KEY), 10), list(OPS_KEY))
+    runs = hot_flows._gap_runs(busy, list(OPS_KEY))
+    assert max(r["count"] for r in runs.groupBy("slice").count().collect()) <= 150
+
+
+def test_many_hot_keys(events, monkeypatch):
+    """More hot flows than are broadcast take the sliced path as well."""
+    from tidewatch.operators import hot_flows
+
+    e = events(random_rows(5))
+
+    def run():
+        return flow_features(e, hot_threshold=2).select(*OPS_KEY, *FEATURES).orderBy(*OPS_KEY).collect()
+
+    want = run()
+    monkeypatch.setattr(hot_flows, "BROADCAST_KEYS", 1)
+    for a, b in zip(run(), want, strict=True):
+        for u, v in zip(a, b):
+            assert u == v or math.isclose(u, v, rel_tol=1e-9, abs_tol=1e-9)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import anomaly as an
 from tidewatch.operators import models as md
 from tidewatch.operators import neighbors as nb
-from tidewatch.schema import AnomalyParams, ModelParams
+from tidewatch.schema import OPS_KEY, AnomalyParams, ModelParams
 
 
 def brute_lof(ref, rows, k, contamination):
@@ -137,6 +137,13 @@ def test_folds(spark):
     assert md.fold_count(d, 1)[0] == 0 and md.fold_count(d.filter("label='benign'"), 5)[0] == 0
 
 
+def test_folds_keep_the_rows_of_a_key_together(spark):
+    d = labelled(spark)
+    f = md.kfold(d.unionByName(d).unionByName(d), 5)
+    assert f.count() == 180
+    assert {r["n"] for r in f.groupBy(*OPS_KEY).agg(F.countDistinct("fold").alias("n")).collect()} == {1}
+
+
 def test_profiles_are_ordered(spark):
     benign, beacon = [0.10, 0.20, 0.30, 0.40, 0.45, 0.50, 0.70], [0.25, 0.60, 0.65, 0.80]
     rows = [("benign", s) for s in benign] + [("beacon", s) for s in beacon]

@@ -272,3 +272,27 @@ def test_train_save_load_score(spark, put, tmp_path):
     s = run.summary.first()
     assert s["mode"] == "rules_random_forest_hybrid" and s["threshold_profile"]["profile"] == "balanced"
     assert run.scored.filter("rf_score IS NOT NULL").count() == 2
+
+
+def test_quoted_fields_and_headers_of_their_own(spark, put):
+    """Doubled quotes, a backslash at the end of a field, another column order, a file without a label."""
+    quoted = put("q1.csv", NORM + f'{stamp(0)},"a ""x"", b",1,->,d,443,tcp,10,,,\n{stamp(1)},c\\,1,->,d,443,tcp,10,,,\n')
+    put("q2.csv", f"total_bytes,protocol,dst_port,dst_ip,direction,src_ip,timestamp\n7,udp,53,e,->,z,{stamp(2)}\n")
+    got = nm.read_normalized(spark, [quoted, quoted.replace("q1", "q2")]).orderBy("ts").collect()
+    assert [(r["src_ip"], r["total_bytes"], r["dst_port"]) for r in got] == [('a "x", b', 10, 443), ("c\\", 10, 443), ("z", 7, 53)]
+    assert nm.read_rows(spark, quoted.replace("q1", "q*")).count() == 3
+
+
+def test_many_zeek_layouts(spark, put):
+    one = ZEEK + "1767225600.0\tC1\t10.0.0.5\t1111\t203.0.113.10\t443\ttcp\t1.0\t100\t50\t2\t1\n"
+    paths = [put("z0.log", one)]
+    for i in range(3):
+        names = ["x%d" % i, "proto", "id.resp_p", "id.resp_h", "id.orig_h", "ts"]
+        paths.append(put(f"y{i}.log", "#fields\t" + "\t".join(names) + f"\nv\tudp\t53\t10.1.1.1\t10.0.0.{i}\t1767225660.0\n"))
+    got = fg.read_zeek_conn(spark, paths).orderBy("src_ip").collect()
+    assert [(r["src_ip"], r["dst_port"], r["total_bytes"]) for r in got] == [("10.0.0.0", 53, 0), ("10.0.0.1", 53, 0), ("10.0.0.2", 53, 0), ("10.0.0.5", 443, 150)]
+
+
+def test_long_prefixed_port(spark):
+    rows = spark.createDataFrame([("0x" + "0" * 60 + "50",), ("0o" + "0" * 50 + "17",)], "p string")
+    assert [r[0] for r in rows.select(bi.service_port(F.col("p"))).collect()] == [80, 15]
