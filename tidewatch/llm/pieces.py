@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -150,13 +151,13 @@ class Pieces:
             limit, live = limit[more], live[more]
         return ok
 
-    def _paths(self, words: list[str]) -> list[np.ndarray]:
-        """Ranks of the pieces of each word, UNKNOWN for a character without one."""
+    def _paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pieces of all words, UNKNOWN for a character without one, and where each word
+        begins among them."""
         text = "".join("\0" + w for w in words) + "\0"
         sizes = np.array([len(w) for w in words], np.int64)
         begin = np.cumsum(sizes + 1) - sizes  # of the word's characters
-        found = [(e, r) for e, r in self.automaton.iter(text)]
-        pair = np.array(found, np.int64).reshape(-1, 2)
+        pair = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
         # longest first at each end
         pair = pair[np.lexsort((-self.length[pair[:, 1]], pair[:, 0]))]
         first = np.searchsorted(pair[:, 0], np.arange(len(text) + 1))
@@ -186,23 +187,18 @@ class Pieces:
                 last[at[better]], best[at[better]], done[at[better]] = r[better], s[better], self.length[r[better]]
                 at, start, nth = at[go], start[go], nth + 1
         # back along the last pieces, all words at once
-        out: list[list[int]] = [[] for _ in words]
         word, at = np.flatnonzero(sizes), (begin + sizes - 1)[sizes > 0]
-        rows, ranks = [], []
+        rows, ranks = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while len(word):
             rows.append(word)
             ranks.append(last[at])
             at = at - done[at]
             on = at >= begin[word]
             word, at = word[on], at[on]
-        if rows:
-            step = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            rows, ranks = np.concatenate(rows), np.concatenate(ranks)
-            order = np.lexsort((-step, rows))
-            cuts = np.searchsorted(rows[order], np.arange(len(words) + 1))
-            ranks = ranks[order]
-            return [ranks[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        return [np.empty(0, np.int64) for _ in out]
+        step = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        rows, ranks = np.concatenate(rows), np.concatenate(ranks)
+        order = np.lexsort((-step, rows))
+        return ranks[order], np.searchsorted(rows[order], np.arange(len(words) + 1))
 
     def _unknown(self, c: str) -> list[int]:
         return [self.v.byte_ids[b] for b in c.encode()] if self.v.byte_ids else [self.v.unknown]
@@ -220,15 +216,16 @@ class Pieces:
         for u in odd:
             ids = [i for p in self.v.merge(u)[0] for i in ([int(self.v.by_rank[self.v.rank[p]])] if p in self.v.rank else self._unknown(p))]
             self.known[u] = np.array(ids, "<u4").tobytes()
-        for u, path in zip(plain, self._paths(plain)):
-            if (path >= 0).all():
-                self.known[u] = self.v.by_rank[path].astype("<u4").tobytes()
-                continue
+        ranks, at = self._paths(plain)
+        raw = (self.v.by_rank[ranks] if len(ranks) else ranks).astype("<u4").tobytes()
+        ends = (at * 4).tolist()
+        self.known.update((u, raw[i:j]) for u, i, j in zip(plain, ends, ends[1:]))
+        for w in np.unique(np.searchsorted(at, np.flatnonzero(ranks == UNKNOWN), side="right") - 1).tolist():
             ids, c = [], 0
-            for r in path.tolist():
-                ids += [int(self.v.by_rank[r])] if r >= 0 else self._unknown(u[c])
+            for r in ranks[at[w] : at[w + 1]].tolist():
+                ids += [int(self.v.by_rank[r])] if r >= 0 else self._unknown(plain[w][c])
                 c += int(self.length[r]) if r >= 0 else 1
-            self.known[u] = np.array(ids, "<u4").tobytes()
+            self.known[plain[w]] = np.array(ids, "<u4").tobytes()
 
     def units(self, text: str | None) -> list[str]:
         if not text:
