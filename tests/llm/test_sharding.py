@@ -18,7 +18,7 @@ def test_differencing_is_tight():
 
 
 def test_documents(spark, odd, empty, monkeypatch):
-    monkeypatch.setattr(sharding, "PER_BUCKET", 40)
+    monkeypatch.setattr(sharding, "FINE", 20)
     rng = random.Random(6)
     texts = [None, ""] + ["hot copy"] * 150 + ["t" * rng.randint(0, 400) + str(rng.randint(0, 9)) for _ in range(300)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, shard string").repartition(5)

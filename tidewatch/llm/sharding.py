@@ -1,10 +1,11 @@
 """Shards of nearly equal bytes by Karmarkar-Karp differencing.
 
-Rows with one text form a group that stays whole. Groups are dealt to buckets by their digest. In a
-bucket every group starts as a partial partition with one filled shard; the two partial partitions
-of largest spread are combined again and again, the fullest shards of one with the emptiest of the
-other, until one is left. The buckets' partial partitions, a few numbers each, are combined the
-same way.
+Rows with one text form a group that stays whole. Differencing starts with every group as a partial
+partition with one filled shard; the two of largest spread are combined again and again, the fullest
+shards of one with the emptiest of the other, until one is left. Small groups are dealt to buckets
+by their digest and differenced there, in tasks, into bundles of nearly equal bytes. The bundles and
+the largest groups, some thousands, are then differenced together on the driver, so that they fill up
+what a very large group leaves uneven.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import Window as W
 
 from tidewatch.llm.files import stored, with_fields
 
-PER_BUCKET = 20_000  # groups that one task differences
+PER_BUCKET = 200_000  # groups that one task differences at most
+FINE = 500  # largest groups for each shard, and buckets of bundles, that are differenced together
 
 
 def difference(parts: list[list[int]]) -> list[list[int]]:
@@ -78,27 +80,31 @@ def assign_shards(rows: DataFrame, group: str, size: str, shards: int) -> DataFr
     alone with it. Repeated rows count each. An empty table gives an empty table."""
     spark = rows.sparkSession
     sums = stored(rows.groupBy(group).agg(F.sum(size).cast("bigint").alias("_bytes")), "shard-groups")
-    buckets = max(1, -(-sums.count() // PER_BUCKET))
-    sums = sums.withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int"))
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+    groups = sums.count()
+    buckets = max(1, -(-groups // PER_BUCKET), min(FINE, groups // (2 * shards)))
+    large = sums.orderBy(F.desc("_bytes"), group).limit(shards * FINE).toPandas()
+    rest = F.lit(False)
+    if groups > len(large):
+        n, g = int(large["_bytes"].iloc[-1]), F.lit(large[group].iloc[-1])
+        rest = (F.col("_bytes") < n) | ((F.col("_bytes") == n) & (F.col(group) > g))
+    small = sums.filter(rest).withColumn("_bucket", F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int"))
+
+    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
         # falling sizes, then digests: the result does not depend on the order of arrival
         pdf = pdf.sort_values(["_bytes", group], ascending=[False, True], ignore_index=True)
         pdf["_part"], _ = difference_items(pdf["_bytes"].tolist(), shards)
         return pdf
 
-    schema = with_fields(sums.schema, "_part int")
-    dealt = stored(sums.groupBy("_bucket").applyInPandas(local, schema), "shard-parts")
-    # one row of `shards` numbers for PER_BUCKET groups
-    totals = dealt.groupBy("_bucket", "_part").agg(F.sum("_bytes").alias("_bytes")).toPandas()
-    parts: dict[int, list[int]] = {}
-    for b, p, n in totals.itertuples(index=False):
-        parts.setdefault(int(b), [0] * shards)[int(p)] = int(n)
-    names = sorted(parts)
-    final = [(b, p, s) for b, f in zip(names, difference([parts[b] for b in names])) for p, s in enumerate(f)]
-    place = spark.createDataFrame(final, "_bucket int, _part int, shard int")
-    where = dealt.join(F.broadcast(place), ["_bucket", "_part"]).select(group, "shard")
-    return rows.drop("shard").join(where, group)
+    dealt = stored(small.groupBy("_bucket").applyInPandas(bundle, with_fields(small.schema, "_part int")), "shard-bundles")
+    # `shards` rows for a bucket
+    bundles = dealt.groupBy("_bucket", "_part").agg(F.sum("_bytes").alias("_bytes")).orderBy("_bucket", "_part").toPandas()
+    where, _ = difference_items([*large["_bytes"].tolist(), *bundles["_bytes"].tolist()], shards)
+    of_large = [(g, w) for g, w in zip(large[group], where)]
+    of_bundle = [(int(b), int(p), w) for b, p, w in zip(bundles["_bucket"], bundles["_part"], where[len(large) :])]
+    place = spark.createDataFrame(of_bundle, "_bucket int, _part int, shard int")
+    named = spark.createDataFrame(of_large, f"{group} {sums.schema[group].dataType.simpleString()}, shard int")
+    found = dealt.join(F.broadcast(place), ["_bucket", "_part"]).select(group, "shard").union(named)
+    return rows.drop("shard").join(found, group)
 
 
 def with_slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:

@@ -57,8 +57,6 @@ class Encoder:
         self.others: dict[str, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.remember:
-            self.known, self.parts, self.others = {}, {}, {}
         parts, known, model = self.parts, self.known, self.model.tokenize
         rest: dict[bytes, list[str]] = {}
         for w in words:
@@ -91,9 +89,10 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
         if new := set(words).difference(self.known):
+            if len(self.known) + len(new) > self.remember:
+                self.known, self.parts, self.others = {}, {}, {}
+                new = set(words)
             self._learn(new)
-            if len(self.known) < len(new):  # it forgot the text's other words
-                self._learn(set(words))
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
 
