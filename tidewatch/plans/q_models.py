@@ -34,8 +34,7 @@ from tidewatch.schema import MODEL_FEATURES, OPS_KEY, ZSCORE_FEATURES, AnomalyPa
 Q: dict = {}
 S: dict = {}
 AP = AnomalyParams()
-# Studies fit many models; they use small forests.
-SMALL = ModelParams(trees=20)
+MP = ModelParams()
 
 # --- F9..F11 --------------------------------------------------------------------------------------
 
@@ -167,7 +166,7 @@ def artifact(s, d):
     if key not in _artifacts:
         ensure_checkpoint_dir(s)
         out = f"{s.sparkContext.getCheckpointDir()}/model/{abs(hash(d))}"
-        jobs.train_events(_ops_events(s, d), out, 3, SMALL, PARAMS)
+        jobs.train_events(_ops_events(s, d), out, 5, MP, PARAMS)
         _artifacts[key] = jobs.load_model(s, out)
     return _artifacts[key]
 
@@ -197,7 +196,7 @@ SELECT {KEY}, label, CAST((row_number() OVER (PARTITION BY label ORDER BY hk)-1)
 
 def oof(s, d):
     return stored(
-        s, d, "oof", lambda s, d: md.out_of_fold(md.kfold(feature_table(s, d), 3), 3, "random_forest", SMALL)
+        s, d, "oof", lambda s, d: md.out_of_fold(md.kfold(feature_table(s, d), 5), 5, "random_forest", MP)
     )
 
 
@@ -271,15 +270,15 @@ def _train_test(s, d):
 
 def _study(s, d):
     train, test = _train_test(s, d)
-    return md.ablation(train, test, p=SMALL).withColumnRenamed("label", "true_label")
+    return md.ablation(train, test, p=MP).withColumnRenamed("label", "true_label")
 
 
-Q["j13_model_threshold_sweep"] = lambda s, d: tidy(md.threshold_study(*_train_test(s, d), p=SMALL))
+Q["j13_model_threshold_sweep"] = lambda s, d: tidy(md.threshold_study(*_train_test(s, d), p=MP))
 Q["j13_model_threshold_sweep_holdout"] = lambda s, d: tidy(
     md.threshold_study(
         ev.holdout_split(_train_test(s, d)[0], ["profile_1"]),
         _train_test(s, d)[1].filter(F.col("scenario_name") == "profile_1"),
-        p=SMALL,
+        p=MP,
     )
 )
 Q["j14_feature_set_ablation"] = lambda s, d: tidy(
@@ -288,7 +287,7 @@ Q["j14_feature_set_ablation"] = lambda s, d: tidy(
 Q["j23_training_regimes"] = lambda s, d: tidy(
     ev.classification_metrics(
         md.regime_compare(
-            _train_test(s, d)[0].filter("seed < 2"), _train_test(s, d)[0].filter("seed = 2"), _train_test(s, d)[1], SMALL
+            _train_test(s, d)[0].filter("seed < 2"), _train_test(s, d)[0].filter("seed = 2"), _train_test(s, d)[1], MP
         ).withColumnRenamed("label", "true_label"),
         ["training_regime"],
     )
@@ -299,7 +298,7 @@ def _j11s(s, d):
     train, test = _train_test(s, d)
     out = None
     for kind in ("logistic_regression", "random_forest"):
-        r = ev.prediction_records(md.score(test, md.fit(train, kind, SMALL)), ["case_name", "seed"])
+        r = ev.prediction_records(md.score(test, md.fit(train, kind, MP)), ["case_name", "seed"])
         out = r if out is None else out.unionByName(r)
     return tidy(ev.multi_seed(out))
 
@@ -324,19 +323,19 @@ Q["l07_native_lof"] = lambda s, d: tidy(native_detections(s, d).select("record_i
 
 
 def native_predictions(s, d):
-    return stored(s, d, "native_supervised", lambda s, d: jobs.native_supervised(native_rows(s, d), p=SMALL)[0])
+    return stored(s, d, "native_supervised", lambda s, d: jobs.native_supervised(native_rows(s, d), p=MP)[0])
 
 
 Q["l10_native_supervised"] = lambda s, d: tidy(
     ev.classification_metrics(native_predictions(s, d), ["detector_name", "test_scenario"])
 )
-Q["l11_importance_rows"] = lambda s, d: tidy(jobs.native_supervised(native_rows(s, d), p=SMALL)[1])
+Q["l11_importance_rows"] = lambda s, d: tidy(jobs.native_supervised(native_rows(s, d), p=MP)[1])
 Q["l12_score_one_file"] = lambda s, d: tidy(
     jobs.score_bidir(
         native_rows(s, d).filter("scenario_name <> 'scenario_2'"),
         native_rows(s, d).filter("scenario_name = 'scenario_2'"),
         "random_forest",
-        SMALL,
+        MP,
     )[1]
 )
 
@@ -348,7 +347,7 @@ def dataset(s, d):
 
 
 def transfer(s, d):
-    return stored(s, d, "transfer", lambda s, d: jobs.transfer_eval(feature_table(s, d), dataset(s, d), p=SMALL))
+    return stored(s, d, "transfer", lambda s, d: jobs.transfer_eval(feature_table(s, d), dataset(s, d), p=MP))
 
 
 Q["l23_direct_transfer"] = lambda s, d: tidy(ev.classification_metrics(transfer(s, d), ["detector_name", "operating_point"]))
