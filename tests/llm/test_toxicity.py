@@ -50,3 +50,53 @@ def test_odd_rows(spark, odd, empty):
         assert got.columns == [c for c in rows.columns if c not in ("score", "held_out", "predicted")] + ["held_out", "score", "predicted"]
         assert got.count() == 9 and got.filter("score BETWEEN 0 AND 1").count() == 9
     assert toxicity.score_toxicity(empty, empty, labels).count() == 0
+
+
+def reference(rows):
+    """Model of (text, label) rows at hand: ratios of grams, and of unseen ones by context."""
+    n = {}
+    for t, y in rows:
+        for g in toxicity.grams(toxicity.WORD.findall(t.lower()))[1].tolist():
+            n.setdefault(g, [0, 0])[y] += 1
+    gram = np.array(sorted(n), np.int64)
+    counts = np.array([n[g] for g in gram.tolist()], np.float64)
+    context, at = np.unique(toxicity.context_of(gram), return_inverse=True)
+    back, logs, weights = toxicity.shared_backoff(gram), [], []
+    for c in counts.T:
+        held = np.maximum(c - toxicity._discount(c), 0)
+        total = np.bincount(at, c)
+        left = np.where(total > 0, (total - np.bincount(at, held)) / np.maximum(total, 1), 1.0)
+        logs.append(np.log(held / np.maximum(total, 1)[at] + left[at] * back))
+        weights.append(np.log(left))
+    return dict(zip(gram.tolist(), logs[1] - logs[0])), dict(zip(context.tolist(), weights[1] - weights[0]))
+
+
+def test_every_gram_counts(spark, monkeypatch):
+    """However few grams and words the tasks hold, those seen once are in the model and all scores
+    are the same."""
+    rows = corpus(400) + [(400 + i, "日本語文字" * 9 + chr(0x4E00 + 7 * i) + " onceonly" + "abcdefgh"[i % 8], i % 2) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    whole = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "COMMON_GRAMS", 7)
+    monkeypatch.setattr(toxicity, "COMMON_WORDS", 3)
+    assert {r.doc_id: r.score for r in toxicity.score_toxicity(docs, docs, labels).collect()} == whole
+    model = toxicity.fit_ratio(spark.createDataFrame([(t, y) for _, t, y in rows], "text string, label int"), "text", "label")
+    seen, unseen = reference([(t, y) for _, t, y in rows])
+    got = model.collect()
+    assert {r.gram for r in got} == set(seen) and sum(r.n == 1 for r in got) > 20
+    assert all(abs(r.seen / toxicity.GRID - seen[r.gram]) < 1e-6 and abs(r.unseen / toxicity.GRID - unseen[r.context]) < 1e-6 for r in got)
+    words = ["zorkface", "anthe", "日本語文字" * 9, "qqq"]
+    rated = {r.name: r for r in toxicity.rate_words(spark.createDataFrame([(w, 1) for w in words], "word string, n bigint"), model).collect()}
+    for w in words:
+        context, gram, _ = toxicity.grams([w])
+        want = sum(seen.get(g, unseen.get(c, 0.0)) for c, g in zip(context.tolist(), gram.tolist()))
+        assert abs(rated[toxicity.name_of(w)].total / toxicity.GRID - want) < 1e-5 and rated[toxicity.name_of(w)].letters == len(w) + 1
+
+
+def test_copies(spark):
+    rows = corpus(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5, rows[0][1])] * 3, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    got = toxicity.score_toxicity(docs, docs, labels).collect()
+    assert len(got) == 203 and len({r.score for r in got if r.text == rows[0][1]}) == 1

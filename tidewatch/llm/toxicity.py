@@ -6,20 +6,25 @@ too rare to judge gets the same probability from both. A document is judged by t
 ratios of log-likelihoods: that of its most toxic word by the letters of that word, and what its
 suspicious words have beyond a margin by the words of the document. A logistic curve, fitted on
 rows that were not counted, turns the two into a probability.
+
+The counts, the probabilities and the scores of the words are tables that Spark joins; none is held
+by the driver or a task. Only the commonest grams and words, a fixed number, are also handed to the
+tasks, so that fewer rows are moved: their values are those of the tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.files import stored, with_fields
+from tidewatch.llm.files import stored
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER = 5
@@ -28,6 +33,9 @@ PRIOR_LETTERS, PRIOR_WORDS = 5.0, 20.0  # added to lengths: very short ones need
 MARGIN = 1.5  # ratio of a single word that is taken for chance
 STEPS = 100  # of 1 in a ratio when the curve is fitted
 REMEMBER = 500_000
+GRID = 1 << 24  # of 1 in a ratio: whole numbers have the same sum in any order
+COMMON_GRAMS, COMMON_WORDS = 1 << 18, 1 << 17  # looked up in tasks, all others by joins
+LONG = 32  # letters of a word that is named by its digest
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +73,8 @@ def _discount(counts: np.ndarray) -> float:
 
 def shared_backoff(gram: np.ndarray) -> np.ndarray:
     """Probability of every gram's symbol after its context without the first symbol, by
-    continuation counts: the number of different grams one symbol longer."""
+    continuation counts: the number of different grams one symbol longer. `backoff_table` does the
+    same for a table; this one is for grams at hand."""
     length = gram >> (SYMBOL * ORDER)
     code = gram & ((1 << SYMBOL * ORDER) - 1)
     types: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -92,39 +101,6 @@ def shared_backoff(gram: np.ndarray) -> np.ndarray:
     return out
 
 
-class Ratio:
-    """log P(toxic) - log P(ordinary) of grams, as two sorted tables.
-
-    For a gram that neither class has seen the shared backoff cancels, and the ratio is that of the
-    classes' backoff weights after the context."""
-
-    def __init__(self, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
-        order = np.argsort(gram)
-        self.gram = gram[order]
-        self.context, at = np.unique(context_of(self.gram), return_inverse=True)
-        back = shared_backoff(self.gram)
-        logs, weights = [], []
-        for n in (ordinary[order], toxic[order]):
-            n = n.astype(np.float64)
-            total = np.bincount(at, n, len(self.context))
-            held = np.maximum(n - _discount(n), 0)
-            left = np.where(total > 0, (total - np.bincount(at, held, len(self.context))) / np.maximum(total, 1), 1.0)
-            logs.append(np.log(np.maximum(held / np.maximum(total, 1)[at] + left[at] * back, 1e-300)))
-            weights.append(np.log(np.maximum(left, 1e-12)))
-        self.seen, self.unseen = logs[1] - logs[0], weights[1] - weights[0]
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """Ratio of each word, and the same by its letters."""
-        context, gram, word = grams(words)
-        if not len(self.gram) or not len(gram):
-            return np.zeros((len(words), 2))
-        i = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-        j = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
-        v = np.where(self.gram[i] == gram, self.seen[i], np.where(self.context[j] == context, self.unseen[j], 0.0))
-        total = np.bincount(word, v, len(words))
-        return np.stack([total, total / (np.bincount(word, minlength=len(words)) + PRIOR_LETTERS)], axis=1)
-
-
 def fold_of(key: Column) -> Column:
     """crc32 of the key as text, modulo 5; a null key counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "utf-8")) % 5
@@ -157,17 +133,185 @@ def count_grams(rows: DataFrame, text: str, label: str) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def fit_ratio(rows: DataFrame, text: str, label: str, max_grams: int = 16_000_000) -> Ratio:
-    """The model of all rows. Its grams are letters inside words, so their number levels off; above
-    `max_grams` the rarest are left to the backoff, the smallest count that fits."""
+def low(code: Column, symbols: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << SYMBOL * symbols) - 1).cast("bigint"))
+
+
+def discount(table: DataFrame, counts: list[str]) -> list[float]:
+    """Of each column of counts, by how many are 1 and 2 in the whole table."""
+    row = table.agg(*[F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in counts for k in (1, 2)]).first()
+    pairs = [(row[f"{c}1"], row[f"{c}2"]) for c in counts]
+    return [once / (once + 2 * twice) if once and twice else 0.5 for once, twice in pairs]
+
+
+def backoff_table(table: DataFrame) -> DataFrame:
+    """shorter, back: the probability of a symbol by continuation counts, for the ends of all grams;
+    `shorter` has the length of a context in its upper bits, as grams do. A group has at most
+    2^SYMBOL rows."""
+    size = SYMBOL * ORDER
+    length, code = F.shiftright("gram", size), low(F.col("gram"), ORDER)
+    types: dict[int, DataFrame] = {}
+    for m in range(ORDER, 1, -1):
+        longer = table.filter(length == m - 1).select(code.alias("s"))
+        if m in types:
+            longer = longer.union(types[m].select("s")).distinct()
+        types[m - 1] = stored(longer.groupBy(low(F.col("s"), m - 1).alias("s")).agg(F.count(F.lit(1)).alias("n")), "toxicity-types")
+    total = types[1].agg(F.sum("n")).first()[0] or 1
+    known = types[1].select("s", (F.col("n") / F.lit(total)).alias("p"))
+    out = known.select((F.col("s") + F.lit(1 << size)).alias("shorter"), F.col("p").alias("back"))
+    for m in range(2, ORDER):
+        d = F.lit(discount(types[m], ["n"])[0])
+        after = Window.partitionBy(F.shiftright("s", SYMBOL))
+        rows = types[m].select("s", "n", F.sum("n").over(after).alias("total"), F.count(F.lit(1)).over(after).alias("kinds"), low(F.col("s"), m - 1).alias("e"))
+        p = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("p")) / F.col("total")
+        known = stored(rows.join(known.withColumnRenamed("s", "e"), "e").select("s", p.alias("p")), "toxicity-backoff")
+        out = out.union(known.select((F.col("s") + F.lit(m << size)).alias("shorter"), F.col("p").alias("back")))
+    return out
+
+
+def fit_ratio(rows: DataFrame, text: str, label: str) -> DataFrame:
+    """The model of all rows, a row for each of their grams: gram, context, n, and in GRID-ths the
+    log P(toxic) - log P(ordinary) of the gram (`seen`) and of those that neither class has after
+    this context (`unseen`): there the shared backoff cancels, and the ratio is that of the
+    classes' backoff weights."""
+    size = SYMBOL * ORDER
     table = stored(count_grams(rows, text, label), "toxicity-grams")
-    n, least = table.count(), 1
-    while n > max_grams:
-        least *= 2
-        table = table.filter(F.col("ordinary") + F.col("toxic") >= least)
-        n = table.count()
-    pdf = table.toPandas()  # at most max_grams rows of three numbers
-    return Ratio(*(pdf[c].to_numpy(np.int64) for c in ("gram", "ordinary", "toxic")))
+    classes = ["ordinary", "toxic"]
+    discounts = discount(table, classes)
+    length, code = F.shiftright("gram", size), low(F.col("gram"), ORDER)
+    top = F.col("gram") - code  # the length in its place
+    # without the first symbol
+    end = F.expr(f"(gram & ((1L << ({SYMBOL} * CAST(gram >> {size} AS INT))) - 1L))")
+    model = table.withColumns({"context": F.shiftright(code, SYMBOL) + top, "shorter": end + top}).join(backoff_table(table), "shorter")
+    after = Window.partitionBy("context")
+    model = model.withColumns({f"{c}_total": F.sum(c).over(after) for c in classes} | {f"{c}_kinds": F.count_if(F.col(c) > 0).over(after) for c in classes})
+    logs, weights = [], []
+    for c, d in zip(classes, map(F.lit, discounts)):
+        n, total = F.col(c), F.col(f"{c}_total")
+        left = F.when(total > 0, d * F.col(f"{c}_kinds") / F.greatest(total, F.lit(1))).otherwise(1.0)
+        held = F.greatest(n - d, F.lit(0.0)) / F.greatest(total, F.lit(1))
+        logs.append(F.log(F.greatest(held + left * F.col("back"), F.lit(1e-300))))
+        weights.append(F.log(F.greatest(left, F.lit(1e-12))))
+    whole = lambda x: F.rint(x * GRID).cast("bigint")
+    return stored(
+        model.select("gram", "context", (F.col("ordinary") + F.col("toxic")).alias("n"), whole(logs[1] - logs[0]).alias("seen"), whole(weights[1] - weights[0]).alias("unseen")),
+        "toxicity-model",
+    )
+
+
+def name_of(word: str) -> str:
+    """The word, or for a long one (a whole line of Han) its digest: no word has a zero."""
+    return word if len(word) <= LONG else "\0" + hashlib.sha256(word.encode()).hexdigest()
+
+
+def count_words(rows: DataFrame, text: str) -> DataFrame:
+    """word, n: the different words of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
+
+        for b in batches:
+            for t in b.column(0):
+                seen.update(WORD.findall((t.as_py() or "").lower()))
+                if len(seen) > REMEMBER:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    return rows.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def rate_words(words: DataFrame, model: DataFrame) -> DataFrame:
+    """name, n, total (ratio in GRID-ths) and letters (with the word's end) of a table of words."""
+    common = model.orderBy(F.desc("n"), "gram").limit(COMMON_GRAMS).select("gram", "seen").toPandas().sort_values("gram")
+    known = words.sparkSession.sparkContext.broadcast((common["gram"].to_numpy(np.int64), common["seen"].to_numpy(np.int64)))
+    fields = ["name", "n", "total", "letters", "gram", "context"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = known.value
+        for b in batches:
+            own = b.column(0).to_pylist()
+            if not own:
+                continue
+            context, gram, word = grams(own)
+            at = np.minimum(np.searchsorted(table, gram), max(len(table) - 1, 0))
+            hit = table[at] == gram if len(table) else np.zeros(len(gram), bool)
+            # whole numbers below 2^53
+            total = np.bincount(word[hit], seen[at[hit]], len(own)).astype(np.int64)
+            names = pa.array([name_of(w) for w in own], pa.string())
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([names, b.column(1), pa.array(total), pa.array(np.bincount(word, minlength=len(own)).astype(np.int64)), none, none], names=fields)
+            rest = np.flatnonzero(~hit)
+            for i in range(0, len(rest), 100_000):
+                r = rest[i : i + 100_000]
+                zero = pa.array(np.zeros(len(r), np.int64))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(word[r])), zero, zero, zero, pa.array(gram[r]), pa.array(context[r])], names=fields)
+
+    cut = stored(words.select("word", "n").mapInArrow(run, "name string, n bigint, total bigint, letters bigint, gram bigint, context bigint"), "toxicity-words")
+    sums = ["n", "total", "letters"]
+    rest = cut.filter("gram IS NOT NULL").join(model.select("gram", "seen"), "gram", "left")
+    # the context alone is known
+    contexts = model.groupBy("context").agg(F.max("unseen").alias("unseen"))
+    new = rest.filter("seen IS NULL").join(contexts, "context").select("name", "n", F.col("unseen").alias("total"), "letters")
+    old = rest.filter("seen IS NOT NULL").select("name", "n", F.col("seen").alias("total"), "letters")
+    rows = cut.filter("gram IS NULL").select("name", *sums).union(old).union(new)
+    return stored(rows.groupBy("name").agg(*[F.sum(c).alias(c) for c in sums]), "toxicity-words")
+
+
+def rate_texts(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """_digest, `_top`, the highest ratio by letters of a text's words, and `_density`, what its
+    words have beyond the margin by their number; both 0 without words. Copies of a text are one row."""
+    rated = words.select(
+        "name",
+        "n",
+        F.greatest(F.col("total") - F.lit(int(MARGIN * GRID)), F.lit(0)).alias("beyond"),
+        (F.col("total") / GRID / (F.col("letters") + PRIOR_LETTERS)).alias("by_letter"),
+    )
+    common = rated.orderBy(F.desc("n"), "name").limit(COMMON_WORDS).toPandas()
+    known = texts.sparkSession.sparkContext.broadcast(dict(zip(common["name"], zip(common["beyond"].tolist(), common["by_letter"].tolist()))))
+    fields = ["_digest", "copies", "words", "beyond", "top", "name", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = known.value
+        for b in batches:
+            rows: list[tuple] = []
+            for digest, t in zip(b.column(0).to_pylist(), b.column(1)):
+                own = WORD.findall((t.as_py() or "").lower())
+                found = [s for w in own if (s := scores.get(w))]
+                rows.append((digest, 1, len(own), sum(x for x, _ in found), max((x for _, x in found), default=None), None, 0))
+                if len(found) < len(own):
+                    times = Counter(map(name_of, (w for w in own if w not in scores)))
+                    rows += [(digest, 0, 0, 0, None, w, n) for w, n in times.items()]
+                if len(rows) > 50_000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=fields)
+
+    cut = stored(
+        texts.select("_digest", "_text").mapInArrow(run, "_digest binary, copies bigint, words bigint, beyond bigint, top double, name string, times bigint"),
+        "toxicity-texts",
+    )
+    rare = cut.filter("name IS NOT NULL").select("_digest", "copies", "words", "name", "times").join(rated.select("name", "beyond", "by_letter"), "name")
+    rare = rare.select("_digest", "copies", "words", (F.col("beyond") * F.col("times")).alias("beyond"), F.col("by_letter").alias("top"))
+    both = cut.filter("name IS NULL").select(*rare.columns).union(rare)
+    sums = both.groupBy("_digest").agg(*[F.sum(c).alias(c) for c in ("copies", "words", "beyond")], F.max("top").alias("top"))
+    # n copies have n times the sums
+    density = F.col("beyond") / F.col("copies") / GRID / (F.col("words") / F.col("copies") + PRIOR_WORDS)
+    return stored(sums.select("_digest", F.coalesce("top", F.lit(0.0)).alias("_top"), density.alias("_density")), "toxicity-ratios")
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def fit_curve(values: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -201,36 +345,6 @@ def fit_curve(values: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.n
     return w / scale
 
 
-def with_ratios(docs: DataFrame, model: Ratio, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds `_top`, the highest ratio by letters of a document's words, and `_density`, what its
-    words have beyond the margin by their number; both 0 without words."""
-    known = docs.sparkSession.sparkContext.broadcast((model.gram, model.seen, model.context, model.unseen))
-    kept = docs.columns if keep is None else keep
-    rows = docs.select(*dict.fromkeys([*kept, text]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = object.__new__(Ratio)
-        ratio.gram, ratio.seen, ratio.context, ratio.unseen = known.value
-        scores: dict[str, tuple[float, float]] = {}
-        for b in batches:
-            top, density = [], []
-            for t in b.column(text):
-                words = WORD.findall((t.as_py() or "").lower())
-                new = list(set(words).difference(scores))
-                if new:
-                    if len(scores) > REMEMBER:
-                        scores = {}
-                        new = list(set(words))
-                    total, by_letter = ratio.words(new).T
-                    scores.update(zip(new, zip(np.maximum(total - MARGIN, 0).tolist(), by_letter.tolist())))
-                own = [scores[w] for w in words]
-                top.append(max((x for _, x in own), default=0.0))
-                density.append(sum(x for x, _ in own) / (len(own) + PRIOR_WORDS))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(top, pa.float64()), pa.array(density, pa.float64())], names=[*kept, "_top", "_density"])
-
-    return rows.mapInArrow(run, with_fields(docs.select(*kept).schema, "_top double, _density double"))
-
-
 def score_toxicity(
     docs: DataFrame,
     training: DataFrame,
@@ -254,14 +368,20 @@ def score_toxicity(
     side = training.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull() & (fold_of(F.col("_key")) != 0))
     counted = side.filter(fold_of(F.col("_key")) != 1).join(own.hint("shuffle_hash"), "_key")
     model = fit_ratio(counted, "_text", "_label")
-    # the curve: counts of labels by the ratios in steps
+    texts = docs.select(F.col(text).alias("_text"))
     fold = side.filter(fold_of(F.col("_key")) == 1)
-    rated = with_ratios(fold, model, "_text", ["_key"]).join(own, "_key")
+    if docs is not training:
+        texts = texts.union(fold.select("_text"))
+    words = rate_words(count_words(texts, "_text"), model)
+    ratios = rate_texts(texts.withColumn("_digest", digest_of(F.col("_text"))), words)
+    # the curve: counts of labels by the ratios in steps
+    rated = fold.select("_key", digest_of(F.col("_text")).alias("_digest")).join(own, "_key").join(ratios, "_digest")
     steps = [F.rint(F.col(c) * STEPS).alias(c) for c in ("_top", "_density")]
     bins = rated.groupBy(*steps, "_label").agg(F.count(F.lit(1)).alias("n")).toPandas()  # few: ratios are small
     curve = fit_curve(bins[["_top", "_density"]].to_numpy(np.float64) / STEPS, bins["_label"].to_numpy(np.int64), bins["n"].to_numpy(np.float64))
     added = ["held_out", "score", "predicted"]
-    scored = with_ratios(docs.drop(*added), model, text, None if keep is None else list(dict.fromkeys([*keep, key])))
+    kept = [c for c in (docs.columns if keep is None else dict.fromkeys([*keep, key])) if c not in added]
+    scored = docs.select(*kept, digest_of(F.col(text)).alias("_digest")).join(ratios, "_digest")
     a, b, c = (F.lit(float(x)) for x in curve)
     score = 1 / (1 + F.exp(-(a * F.col("_top") + b * F.col("_density") + c)))
     scored = scored.withColumns({"held_out": fold_of(F.col(key)) == 0, "score": score}).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
