@@ -296,3 +296,8 @@ def test_many_zeek_layouts(spark, put):
 def test_long_prefixed_port(spark):
     rows = spark.createDataFrame([("0x" + "0" * 60 + "50",), ("0o" + "0" * 50 + "17",)], "p string")
     assert [r[0] for r in rows.select(bi.service_port(F.col("p"))).collect()] == [80, 15]
+
+
+def test_long_binary_ports(spark):
+    d = spark.createDataFrame([("0b" + "0" * 90 + "1010000",), ("0b" + "1" * 4,)], "p string")
+    assert [r[0] for r in d.select(bi.service_port(F.col("p"))).collect()] == [80, 15]

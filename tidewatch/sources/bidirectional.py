@@ -70,7 +70,7 @@ def service_port(raw: Column) -> Column:
     based = (
         F.when(t.rlike("^0x[0-9a-f]+$"), F.conv(F.substr(t, F.lit(3)), 16, 10))
         .when(t.rlike("^0o[0-7]+$"), F.conv(F.substr(t, F.lit(3)), 8, 10))
-        .when(t.rlike("^0b[01]+$"), F.conv(F.substring(t, 3, 80), 2, 10))
+        .when(t.rlike("^0b[01]+$"), F.conv(F.substr(t, F.lit(3)), 2, 10))
     )
     return F.coalesce(F.try_element_at(names, t), F.coalesce(plain, based).try_cast("int"))
 
