@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import contamination, embeddings, jaccard, licenses, line_dedup, pieces, sharding, tokens, toxicity, urls
+from tidewatch.llm import chat, contamination, embeddings, importance, jaccard, licenses, line_dedup, pieces, sharding, tokens, toxicity, urls
 from tidewatch.llm.files import new_path
 from tidewatch.session import tune
 
@@ -152,3 +152,68 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_families(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+#: CRC-32 in SQL: what a byte does to the register, and the value of a text given as hexadecimal digits
+_STEPS = (
+    "(SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: "
+    "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS steps)"
+)
+
+
+def _crc32(digits: str) -> str:
+    data = f"list_transform(range(1, length({digits}), 2), lambda i: CAST('0x' || substr({digits}, i, 2) AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+SQL["op12_importance_resampling"] = rf"""
+WITH w AS (SELECT 0 AS side, doc_id AS id, {_WORDS} AS w FROM documents UNION ALL SELECT 1, NULL, {_WORDS} FROM benchmark),
+f AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+g AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+c AS (SELECT f, {_crc32("h")} % 10000 AS bucket FROM g, {_STEPS}),
+n AS (SELECT side, id, bucket, count(*) AS n FROM f JOIN c USING (f) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM n GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS alls, coalesce(sum(t), 0) AS allt FROM b),
+k AS (SELECT bucket, floor(1000 * ln((t + 1) * (alls + 10000) / ((s + 1) * (allt + 10000)))) AS gain FROM b, a),
+m AS (SELECT id, sum(n) AS n, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM n JOIN k USING (bucket) WHERE side = 0 GROUP BY id),
+d AS (SELECT id AS doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (id) WHERE side = 0),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score, words >= 20 AS fit FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS n FROM e)
+SELECT doc_id, words AS n_words, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM r"""
+
+
+@query
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("bigint"), "id", F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")), F.lit(said))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    read = chat.read_back(chat.render(chat.fold_events(chat.log_of_rows(rows, "conv_id", "turn", "role", "text"))))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length("trained").cast("bigint").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+_ESCAPED = (
+    r"regexp_replace(regexp_replace(replace({}, '\', '\\'), '<(\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|</?SYS>>|\|endoftext\|>)', '<\\\1', 'g'), "
+    r"'\[(/?INST\])', '[\\\1', 'g')"
+)
+SQL["op13_chat_formatting"] = rf"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('<|im_start|><|im_sep|><|im_end|>') + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS formatted_chars
+  FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
