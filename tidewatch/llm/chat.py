@@ -75,8 +75,8 @@ class Template:
 
 def log_of_rows(rows: DataFrame, conv: str, turn: str, role: str, text: str, piece: int = 256) -> DataFrame:
     """Finished turns as the log they would have left: an opening, then the text in deltas of
-    `piece` code points. Rows of a conversation with one turn are ordered by role and text; a row
-    that occurs twice is two messages. Nulls come first, and a null text is empty."""
+    `piece` code points. Rows of a conversation with one turn are ordered by role and a digest of the
+    text; a row that occurs twice is two messages. Nulls come first, and a null text is empty."""
     counted = rows.groupBy(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).agg(
         F.count(F.lit(1)).cast("int").alias("n")
     )

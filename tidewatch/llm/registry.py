@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, contamination, embeddings, importance, jaccard, licenses, line_dedup, pieces, sharding, tokens, toxicity, urls
+from tidewatch.llm import chat, contamination, embeddings, importance, jaccard, licenses, line_dedup, pieces, repair, sharding, tokens, toxicity, urls
 from tidewatch.llm.files import new_path
 from tidewatch.session import tune
 
@@ -188,6 +188,52 @@ r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id)
 SELECT doc_id, words AS n_words, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM r"""
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repaired = repair.repair_conversations(repair.damage_rows(rows))
+    digest = repair.digests(repaired).withColumnRenamed("conv", "d")
+    counts = repaired.counts.withColumnRenamed("conv", "c")
+    every = rows.select("conv_id").distinct()
+    found = every.join(counts, F.col("conv_id").eqNullSafe(F.col("c")), "left").join(digest, F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# Insertions are left out: with these costs none is ever among the cheapest edits (see repair.Costs).
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("h")} % 20 AS how
+  FROM (SELECT *, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations), {_STEPS}),
+d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+  CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE how <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid FROM o),
+g AS (SELECT *, left(role, 1) AS initial, left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS pair,
+  CASE WHEN solid = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+t(q, sym, past) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+e AS (SELECT conv_id, p, q, q AS past, 2 AS price, 'D' AS op FROM g, range(4) s(q)
+  UNION ALL SELECT conv_id, p, q, past, CASE WHEN fault = '' THEN 0 ELSE 5 END, 'K' FROM g JOIN t ON sym = initial WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, p, q, past, CASE WHEN fault = '' THEN 1 ELSE 6 END, 'R' FROM g JOIN t ON sym <> 's' WHERE fault IN ('', 'truncated')),
+s AS (SELECT conv_id, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS q, 0 AS cost, '' AS audit FROM n
+  UNION ALL SELECT conv_id, p, q, cost, audit FROM (SELECT s.conv_id, e.p, CAST(e.past AS BIGINT) AS q, cost + price AS cost, audit || op AS audit,
+    row_number() OVER (PARTITION BY s.conv_id, e.past ORDER BY cost + price, audit || op) AS k
+    FROM s JOIN e ON e.conv_id = s.conv_id AND e.p = s.p + 1 AND e.q = s.q) WHERE k = 1),
+b AS (SELECT conv_id, cost, audit FROM (SELECT s.*, row_number() OVER (PARTITION BY s.conv_id ORDER BY cost, audit) AS k
+  FROM s JOIN n ON s.conv_id = n.conv_id AND s.p = n.rows WHERE q IN (0, 3)) WHERE k = 1),
+a AS (SELECT g.conv_id, p, role, text, initial, substr(audit, p, 1) AS op FROM g JOIN b USING (conv_id)),
+k AS (SELECT *, row_number() OVER w - CAST(first_value(initial = 's' AND op = 'K') OVER w AS BIGINT) AS place
+  FROM a WHERE op <> 'D' WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS sha
+  FROM k GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n ON i.conv_id = n.conv_id LEFT JOIN b ON i.conv_id = b.conv_id LEFT JOIN h ON i.conv_id = h.conv_id"""
+
+
 @query
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
