@@ -2,14 +2,15 @@
 
 Two models of order 5 are counted, one over toxic and one over ordinary documents. The highest order
 is counted for each class; below it both back off to one set of continuation counts, so an expression
-too rare to judge gets the same probability from both. A document is judged by two length-normalised
-ratios of log-likelihoods: that of its most toxic word by the letters of that word, and what its
-suspicious words have beyond a margin by the words of the document. A logistic curve, fitted on
-rows that were not counted, turns the two into a probability.
+too rare to judge gets the same probability from both. A document is judged by length-normalised
+ratios of log-likelihoods: that of all its words by their letters, that of its most toxic word by
+the letters of that word, and what its suspicious words have beyond a margin by the words of the
+document. A logistic curve turns them into a probability. It is fitted on a fold of rows that its
+models have not counted; the models that score count these rows too.
 
 The counts, the probabilities and the scores of the words are tables that Spark joins; none is held
-by the driver or a task. Only the commonest grams and words, a fixed number, are also handed to the
-tasks, so that fewer rows are moved: their values are those of the tables.
+by the driver or a task. Only the commonest grams and words, a fixed number at most, are also handed to
+the tasks, so that fewer rows are moved: their values are those of the tables.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.files import stored
 
-WORD = re.compile(r"[^\W\d_]+")
+#: letters, digits, and the signs that stand for letters in disguised spellings
+WORD = re.compile(r"[\w@$*#]+(?:!+[\w@$*#]+)*")
 ORDER = 5
-SYMBOL = 12  # bits of a letter; rarer scripts fold into them
-PRIOR_LETTERS, PRIOR_WORDS = 5.0, 20.0  # added to lengths: very short ones need more evidence
+SYMBOL = 12  # bits of a symbol
+#: a character below PLAIN is one symbol, any other two, of ranges of their own
+PLAIN = 0x780
+PRIOR_LETTERS, PRIOR_WORDS, PRIOR_TEXT = 5.0, 20.0, 50.0  # added to lengths: very short ones need more evidence
 MARGIN = 1.5  # ratio of a single word that is taken for chance
 STEPS = 100  # of 1 in a ratio when the curve is fitted
 REMEMBER = 500_000
@@ -39,14 +43,18 @@ LONG = 32  # letters of a word that is named by its digest
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every letter and word end: its context (up to four symbols, not beyond the word's
+    """Of every symbol and word end: its context (up to four symbols, not beyond the word's
     beginning), context and symbol together, and the number of its word."""
     text = "".join("\0" + w for w in words) + "\0"
     flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    wide = flat >= PLAIN
+    if wide.any():  # the upper bits, then the lower ten
+        at = np.cumsum(1 + wide) - 1 - wide
+        out = np.empty(len(flat) + int(wide.sum()), np.int64)
+        out[at] = np.where(wide, PLAIN + (flat >> 10), flat)
+        out[at[wide] + 1] = PLAIN + 0x441 + (flat[wide] & 0x3FF)
+        flat = out
     edge = flat == 0
-    # a letter whose low bits are zero must not look like an edge
-    flat &= (1 << SYMBOL) - 1
-    flat[(flat == 0) & ~edge] = 1
     n = len(flat)
     if n < 2:
         none = np.empty(0, np.int64)
@@ -226,14 +234,27 @@ def count_words(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def commonest(table: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, those of the largest n: from a count on that a histogram tells."""
+    size = F.floor(F.log2("n") * 16)
+    sizes = sorted(tuple(r) for r in table.groupBy(size.alias("size")).count().collect())  # a few hundred at most
+    least = 1 << 30
+    for at, n in reversed(sizes):
+        if n > most:
+            break
+        least, most = at, most - n
+    return table.filter(size >= least)
+
+
 def rate_words(words: DataFrame, model: DataFrame) -> DataFrame:
     """name, n, total (ratio in GRID-ths) and letters (with the word's end) of a table of words."""
-    common = model.orderBy(F.desc("n"), "gram").limit(COMMON_GRAMS).select("gram", "seen").toPandas().sort_values("gram")
-    known = words.sparkSession.sparkContext.broadcast((common["gram"].to_numpy(np.int64), common["seen"].to_numpy(np.int64)))
+    common = commonest(model.select("gram", "n", "seen"), COMMON_GRAMS).select("gram", "seen").toArrow()
+    held = np.column_stack([common["gram"].to_numpy(), common["seen"].to_numpy()]).astype(np.int64)
+    known = words.sparkSession.sparkContext.broadcast(held[np.argsort(held[:, 0])])
     fields = ["name", "n", "total", "letters", "gram", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = known.value
+        table, seen = known.value.T
         for b in batches:
             own = b.column(0).to_pylist()
             if not own:
@@ -245,7 +266,7 @@ def rate_words(words: DataFrame, model: DataFrame) -> DataFrame:
             total = np.bincount(word[hit], seen[at[hit]], len(own)).astype(np.int64)
             names = pa.array([name_of(w) for w in own], pa.string())
             none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([names, b.column(1), pa.array(total), pa.array(np.bincount(word, minlength=len(own)).astype(np.int64)), none, none], names=fields)
+            yield pa.RecordBatch.from_arrays([names, b.column(1), pa.array(total), pa.array([len(w) + 1 for w in own], pa.int64()), none, none], names=fields)
             rest = np.flatnonzero(~hit)
             for i in range(0, len(rest), 100_000):
                 r = rest[i : i + 100_000]
@@ -264,29 +285,39 @@ def rate_words(words: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def rate_texts(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """_digest, `_top`, the highest ratio by letters of a text's words, and `_density`, what its
-    words have beyond the margin by their number; both 0 without words. Copies of a text are one row."""
+    """digest, and of a text's words: `whole`, the ratio of all of them by their letters, `top`, the
+    highest ratio of one by its letters, and `density`, what they have beyond the margin by their
+    number; all 0 without words. Copies of a text are one row."""
     rated = words.select(
         "name",
         "n",
         F.greatest(F.col("total") - F.lit(int(MARGIN * GRID)), F.lit(0)).alias("beyond"),
-        (F.col("total") / GRID / (F.col("letters") + PRIOR_LETTERS)).alias("by_letter"),
+        "total",
+        "letters",
+        (F.col("total") / GRID / (F.col("letters") + PRIOR_LETTERS)).alias("top"),
     )
-    common = rated.orderBy(F.desc("n"), "name").limit(COMMON_WORDS).toPandas()
-    known = texts.sparkSession.sparkContext.broadcast(dict(zip(common["name"], zip(common["beyond"].tolist(), common["by_letter"].tolist()))))
-    fields = ["_digest", "copies", "words", "beyond", "top", "name", "times"]
+    sums = ["beyond", "total", "letters"]
+    common = commonest(rated, COMMON_WORDS).select("name", *sums, "top").toArrow()
+    known = texts.sparkSession.sparkContext.broadcast(common)
+    fields = ["digest", "copies", "words", *sums, "top", "name", "times"]
+    kinds = [pa.binary(), *[pa.int64()] * 5, pa.float64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = known.value
+        table = known.value
+        place = {w: i for i, w in enumerate(table["name"].to_pylist())}
+        values = np.column_stack([table[c].to_numpy() for c in sums]).astype(np.int64)
+        top = table["top"].to_numpy()
         for b in batches:
             rows: list[tuple] = []
             for digest, t in zip(b.column(0).to_pylist(), b.column(1)):
                 own = WORD.findall((t.as_py() or "").lower())
-                found = [s for w in own if (s := scores.get(w))]
-                rows.append((digest, 1, len(own), sum(x for x, _ in found), max((x for _, x in found), default=None), None, 0))
+                at = [place.get(w, -1) for w in own]
+                found = np.array(at, np.int64)
+                found = found[found >= 0]
+                rows.append((digest, 1, len(own), *values[found].sum(axis=0).tolist(), float(top[found].max()) if len(found) else None, None, 0))
                 if len(found) < len(own):
-                    times = Counter(map(name_of, (w for w in own if w not in scores)))
-                    rows += [(digest, 0, 0, 0, None, w, n) for w, n in times.items()]
+                    times = Counter(name_of(w) for w, i in zip(own, at) if i < 0)
+                    rows += [(digest, 0, 0, 0, 0, 0, None, w, n) for w, n in times.items()]
                 if len(rows) > 50_000:
                     yield batch(rows)
                     rows = []
@@ -294,20 +325,18 @@ def rate_texts(texts: DataFrame, words: DataFrame) -> DataFrame:
                 yield batch(rows)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=fields)
 
-    cut = stored(
-        texts.select("_digest", "_text").mapInArrow(run, "_digest binary, copies bigint, words bigint, beyond bigint, top double, name string, times bigint"),
-        "toxicity-texts",
-    )
-    rare = cut.filter("name IS NOT NULL").select("_digest", "copies", "words", "name", "times").join(rated.select("name", "beyond", "by_letter"), "name")
-    rare = rare.select("_digest", "copies", "words", (F.col("beyond") * F.col("times")).alias("beyond"), F.col("by_letter").alias("top"))
+    schema = "digest binary, copies bigint, words bigint, beyond bigint, total bigint, letters bigint, top double, name string, times bigint"
+    cut = stored(texts.select(digest_of(F.col("text")).alias("digest"), "text").mapInArrow(run, schema), "toxicity-texts")
+    rare = cut.filter("name IS NOT NULL").select("digest", "copies", "words", "name", "times").join(rated.select("name", *sums, "top"), "name")
+    rare = rare.select("digest", "copies", "words", *[(F.col(c) * F.col("times")).alias(c) for c in sums], "top")
     both = cut.filter("name IS NULL").select(*rare.columns).union(rare)
-    sums = both.groupBy("_digest").agg(*[F.sum(c).alias(c) for c in ("copies", "words", "beyond")], F.max("top").alias("top"))
+    both = both.groupBy("digest").agg(*[F.sum(c).alias(c) for c in ("copies", "words", *sums)], F.max("top").alias("top"))
     # n copies have n times the sums
+    whole = F.col("total") / F.col("copies") / GRID / (F.col("letters") / F.col("copies") + PRIOR_TEXT)
     density = F.col("beyond") / F.col("copies") / GRID / (F.col("words") / F.col("copies") + PRIOR_WORDS)
-    return stored(sums.select("_digest", F.coalesce("top", F.lit(0.0)).alias("_top"), density.alias("_density")), "toxicity-ratios")
+    return stored(both.select("digest", whole.alias("whole"), F.coalesce("top", F.lit(0.0)).alias("top"), density.alias("density")), "toxicity-ratios")
 
 
 def digest_of(text: Column) -> Column:
@@ -358,31 +387,36 @@ def score_toxicity(
     predicted (1 from 0.5 on); columns of these names are replaced.
 
     The model is learned from the texts of `training` that have a label of 0 or 1, but for those
-    whose key's crc32 is a multiple of 5 (held_out): of the rest, remainder 1 fits the curve, and the
-    others are counted. Every text is scored from its words alone. A text without words has ratios
-    of 0. Where a key has several labels the largest counts. With only one label, or none, every score
-    is the same. Repeated rows are scored alike; an empty table gives an empty table.
+    whose key's crc32 is a multiple of 5 (held_out). The curve is fitted on remainder 1 with models
+    of the others; then all four are counted. Every text is scored from its words alone. A text
+    without words has ratios of 0. Where a key has several labels the largest counts. With only one
+    label, or none, every score is the same. Repeated rows are scored alike; columns of any other
+    name pass through; an empty table gives an empty table.
     """
     own = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold_of(F.col(key)) != 0))
-    own = own.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
-    side = training.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_key").isNotNull() & (fold_of(F.col("_key")) != 0))
-    counted = side.filter(fold_of(F.col("_key")) != 1).join(own.hint("shuffle_hash"), "_key")
-    model = fit_ratio(counted, "_text", "_label")
-    texts = docs.select(F.col(text).alias("_text"))
-    fold = side.filter(fold_of(F.col("_key")) == 1)
-    if docs is not training:
-        texts = texts.union(fold.select("_text"))
-    words = rate_words(count_words(texts, "_text"), model)
-    ratios = rate_texts(texts.withColumn("_digest", digest_of(F.col("_text"))), words)
+    own = own.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
+    side = training.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & (fold_of(F.col("key")) != 0))
+    side = side.join(own.hint("shuffle_hash"), "key")
+    fold = fold_of(F.col("key"))
+
+    def ratios(model: DataFrame, texts: DataFrame) -> DataFrame:
+        return rate_texts(texts, rate_words(count_words(texts, "text"), model))
+
     # the curve: counts of labels by the ratios in steps
-    rated = fold.select("_key", digest_of(F.col("_text")).alias("_digest")).join(own, "_key").join(ratios, "_digest")
-    steps = [F.rint(F.col(c) * STEPS).alias(c) for c in ("_top", "_density")]
-    bins = rated.groupBy(*steps, "_label").agg(F.count(F.lit(1)).alias("n")).toPandas()  # few: ratios are small
-    curve = fit_curve(bins[["_top", "_density"]].to_numpy(np.float64) / STEPS, bins["_label"].to_numpy(np.int64), bins["n"].to_numpy(np.float64))
+    inputs = ["whole", "top", "density"]
+    apart = side.filter(fold == 1)
+    rated = apart.select("label", digest_of(F.col("text")).alias("digest")).join(ratios(fit_ratio(side.filter(fold != 1), "text", "label"), apart.select("text")), "digest")
+    steps = [F.rint(F.col(c) * STEPS).alias(c) for c in inputs]
+    bins = rated.groupBy(*steps, "label").agg(F.count(F.lit(1)).alias("n")).toPandas()  # few: ratios are small
+    curve = fit_curve(bins[inputs].to_numpy(np.float64) / STEPS, bins["label"].to_numpy(np.int64), bins["n"].to_numpy(np.float64))
+    found = ratios(fit_ratio(side, "text", "label"), docs.select(F.col(text).alias("text")))
+
     added = ["held_out", "score", "predicted"]
-    kept = [c for c in (docs.columns if keep is None else dict.fromkeys([*keep, key])) if c not in added]
-    scored = docs.select(*kept, digest_of(F.col(text)).alias("_digest")).join(ratios, "_digest")
-    a, b, c = (F.lit(float(x)) for x in curve)
-    score = 1 / (1 + F.exp(-(a * F.col("_top") + b * F.col("_density") + c)))
-    scored = scored.withColumns({"held_out": fold_of(F.col(key)) == 0, "score": score}).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    return scored.select(*[c for c in (docs.columns if keep is None else keep) if c not in added], *added)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    # the caller's columns travel in one struct, so none can clash with those made here
+    rows = docs.select(F.struct(*kept).alias("row"), (fold_of(F.col(key)) == 0).alias("held_out"), digest_of(F.col(text)).alias("digest"))
+    z = F.lit(float(curve[-1]))
+    for c, slope in zip(inputs, curve):
+        z = z + F.lit(float(slope)) * F.col(c)
+    scored = rows.join(found, "digest").withColumn("score", 1 / (1 + F.exp(-z)))
+    return scored.select(*[F.col("row")[c].alias(c) for c in kept], "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
