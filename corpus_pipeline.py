@@ -2,7 +2,8 @@
 
 The stages drop toxic documents, repeated lines, near copies and benchmark passages, and encode what
 is left. All of them work on whole texts and on every row; rows with a null key are never dropped as
-copies. An empty table passes through all stages.
+copies. A stage hands a document's columns through the operator in one struct, so columns of any
+name come out as they went in. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -16,20 +17,30 @@ from tidewatch.llm.files import stored
 from tidewatch.session import tune
 
 
+OWN = "own columns"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns as one."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias(OWN))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of this stage's own documents, rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_toxicity(docs, docs, labels)
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    scored = toxicity.score_toxicity(packed(docs), docs, labels, keep=[OWN])
+    return scored.filter(F.col("predicted") == 0).select(f"`{OWN}`.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 and more characters found in three documents stay in the last of them only."""
-    cut = line_dedup.drop_repeated_lines(docs)
+    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias(OWN)
+    cut = line_dedup.drop_repeated_lines(docs.select("doc_id", "text", rest))
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    changed = F.col("n_dropped") > 0
-    n_chars = F.when(changed, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+    new = cut.select("doc_id", text.alias("text"), (F.col("n_dropped") > 0).alias("changed"), OWN)
+    n_chars = F.when(F.col("changed"), F.char_length("text")).otherwise(F.col(OWN)["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": n_chars}
+    return new.select(*[own.get(c, F.col(OWN)[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +51,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more are words of benchmark passages go."""
-    hits = contamination.contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return hits.filter(~contamination.is_contaminated()).select(*docs.columns)
+    hits = contamination.contaminated_words(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=[OWN])
+    return hits.filter(~contamination.is_contaminated()).select(f"`{OWN}`.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
