@@ -37,11 +37,11 @@ def table(spark, x, label="benign"):
     return d.withColumn("label", F.lit(label)), names
 
 
-@pytest.mark.parametrize("block,pivots,two_step", [(4000, 64, 64), (7, 5, 64), (7, 5, 1)])
-def test_lof_against_brute_force(spark, monkeypatch, block, pivots, two_step):
-    monkeypatch.setattr(nb, "BLOCK_ROWS", block)  # small blocks: rings and visitors are cut up
-    monkeypatch.setattr(nb, "TWO_STEP_RINGS", two_step)
-    monkeypatch.setattr(nb, "MAX_PIVOTS", pivots)
+@pytest.mark.parametrize("block,leaf,two_step", [(4000, 1000, 8), (7, 10, 64), (7, 10, 1), (4000, 5, 1)])
+def test_lof_against_brute_force(spark, monkeypatch, block, leaf, two_step):
+    monkeypatch.setattr(nb, "BLOCK_ROWS", block)  # small blocks: leaves and visitors are cut up
+    monkeypatch.setattr(nb, "TWO_STEP_LEAVES", two_step)
+    monkeypatch.setattr(nb, "LEAF_ROWS", leaf)
     rng = np.random.default_rng(5)
     ref = np.vstack([rng.normal(size=(60, 3)), rng.normal(loc=6, size=(40, 3))])
     rows = np.vstack([rng.normal(size=(20, 3)), rng.normal(scale=9, size=(20, 3))])
@@ -51,6 +51,27 @@ def test_lof_against_brute_force(spark, monkeypatch, block, pivots, two_step):
     np.testing.assert_allclose(got, brute_lof(ref, rows, 10, 0.03), rtol=1e-9)
 
 
+def test_neighbors_of_a_sampled_tree(spark, monkeypatch):
+    """A tree grown from a few of the vectors finds the same neighbours, and prunes."""
+    monkeypatch.setattr(nb, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(nb, "LEAF_ROWS", 15)
+    monkeypatch.setattr(nb, "TWO_STEP_LEAVES", 2)
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(loc=rng.uniform(-30, 30, 4), size=(30, 4)) for _ in range(10)])
+    rows = spark.createDataFrame([(f"{i:03}", v.tolist(), 1) for i, v in enumerate(x)], "rid string, vec array<double>, w bigint")
+    got = nb.knn(rows.select(F.col("rid").alias("qid"), "vec"), rows, 5, True).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(300) for j in np.argsort(d[i], kind="stable")[:5]}
+    assert {(int(r.qid), int(r.rid)) for r in got} == want
+    tree = nb._tree(rows, 300)
+    planted, stats = nb._planted(rows, tree)
+    assert stats["n"].sum() == 300 and len(stats) > 8
+    theta = rows.select(F.col("rid").alias("qid"), "vec", F.lit(3.0).alias("theta"))
+    visits = nb._visits(theta, tree, stats, 6, "near").count() + nb._visits(theta, tree, stats, 6, "rest").count()
+    assert visits < 300 * len(stats) / 3
+
+
 def test_lof_with_many_copies(spark):
     """A third of the reference is one record, and queries repeat."""
     rng = np.random.default_rng(6)

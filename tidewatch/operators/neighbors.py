@@ -1,15 +1,20 @@
-"""Exact k nearest neighbours of vectors, as a blocked and pruned join.
-
-The reference is cut into cells around pivots and, by distance to the pivot, into rings. From ring
-sizes and radii every query gets an upper bound of its k-th distance: it searches the closest rings
-first and then visits only rings that can hold a closer vector. Rings and their visitors are cut into blocks of bounded size, and a
-block pair returns at most k neighbours per query, so neither a dense region nor a popular ring
-ends up in one task, and no list of all pairs exists. Equal reference vectors are one row with a
-weight, so copies cost nothing.
+"""Exact k nearest neighbours of vectors, as a blocked and pruned join over a metric tree.
+
+A bounded sample of the reference is halved again and again across its widest direction; the tree of
+these cuts sends every reference vector to a leaf. All vectors of a leaf, not the sample, give its
+bounding box and the ring around its centre, from which a query gets a lower bound of its distance
+to the leaf. A query searches the leaves of least bound first, until they surely hold k vectors, and
+then only those whose bound is within the k-th distance it has found.
+
+Leaves and their visitors are cut into blocks of bounded size, and a block pair returns at most k
+neighbours per query, so neither a dense region nor a popular leaf ends up in one task, and no list
+of all pairs exists. Equal reference vectors are one row with a weight, so copies cost nothing.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,24 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-MAX_PIVOTS = 64  # with MAX_RINGS this bounds what the driver holds about the reference
-MAX_RINGS = 64
+# Together these bound what the driver holds: the sample, and a box for each leaf.
+SAMPLE_ROWS = 1 << 16
+MAX_LEAVES = 1 << 12
+LEAF_ROWS = 1000
 BLOCK_ROWS = 4000
-# With fewer rings a second search costs more than it prunes.
-TWO_STEP_RINGS = 64
+# With fewer leaves a second search costs more than it prunes.
+TWO_STEP_LEAVES = 8
 
 
 def _matrix(column: pd.Series, dims: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, dims))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    for j, row in enumerate(b):
-        out[:, j] = np.sqrt(((a - row) ** 2).sum(axis=1))
-    return out
-
-
 def distinct_vectors(rows: DataFrame, vec: str = "vec") -> DataFrame:
     """rid, vec, w: the distinct vectors and how often each occurs."""
     d = rows.groupBy(vec).agg(F.count(F.lit(1)).alias("w"))
@@ -45,88 +45,130 @@ def vector_id(vec: str = "vec"):
     return F.sha2(F.array_join(F.transform(vec, lambda x: (x + 0.0).cast("string")), ","), 256)
 
 
-def _pivots(reference: DataFrame, count: int) -> np.ndarray:
-    """A spread of reference vectors: the first by hash. At most MAX_PIVOTS rows."""
-    n = int(np.clip(np.sqrt(count) / 4, 1, MAX_PIVOTS))
-    return np.array([r["vec"] for r in reference.orderBy("rid").limit(n).collect()], dtype=np.float64)
-
-
-def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot and the distance to it."""
-    kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())])
+@dataclass
+class Tree:
+    """Cuts x . direction <= cut with the children of both sides; a child below 0 is leaf -1 - child."""
+
+    directions: np.ndarray
+    cuts: np.ndarray
+    children: np.ndarray
+    centers: np.ndarray
+
+    @classmethod
+    def grow(cls, sample: np.ndarray, leaves: int) -> Tree:
+        directions, cuts, children, centers = [], [], [], []
+
+        def split(idx: np.ndarray, wanted: int) -> int:
+            x = sample[idx]
+            mean = x.mean(axis=0)
+            a = x[((x - mean) ** 2).sum(axis=1).argmax()]
+            b = x[((x - a) ** 2).sum(axis=1).argmax()]
+            side = x @ (b - a)
+            cut = float(np.partition(side, (len(side) - 1) // 2)[(len(side) - 1) // 2])
+            left = side <= cut
+            if wanted < 2 or len(idx) < 2 or left.all():
+                centers.append(mean)
+                return -len(centers)
+            n = len(cuts)
+            directions.append(b - a)
+            cuts.append(cut)
+            children.append([0, 0])
+            children[n] = [split(idx[left], wanted // 2), split(idx[~left], wanted - wanted // 2)]
+            return n
+
+        split(np.arange(len(sample)), leaves)
+        dims = sample.shape[1]
+        return cls(np.array(directions).reshape(-1, dims), np.array(cuts), np.array(children, np.int64).reshape(-1, 2), np.array(centers))
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64) if len(self.cuts) else np.full(len(x), -1)
+        inner = np.flatnonzero(at >= 0)
+        while len(inner):
+            n = at[inner]
+            # summed row by row: a vector takes the same way in every batch
+            right = (x[inner] * self.directions[n]).sum(axis=1) > self.cuts[n]
+            at[inner] = self.children[n, right.astype(np.int64)]
+            inner = inner[at[inner] >= 0]
+        return -1 - at
+
+
+def _tree(reference: DataFrame, count: int) -> Tree:
+    """Grown from the vectors that come first by hash, SAMPLE_ROWS at most."""
+    rows = reference.select("rid", "vec").orderBy("rid").limit(SAMPLE_ROWS).select("vec").toArrow()["vec"]
+    sample = np.stack(rows.to_pandas().to_numpy()).astype(np.float64)
+    return Tree.grow(sample, int(np.clip(count // LEAF_ROWS, 1, MAX_LEAVES)))
+
+
+def _planted(reference: DataFrame, tree: Tree) -> tuple[DataFrame, pd.DataFrame]:
+    """Reference rows with `at`, their leaf; and of each leaf: at, n, w, the distances lo to hi from its
+    centre, and the least and largest value of each dimension."""
+    kind = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("radius", T.DoubleType())])
+    dims = tree.centers.shape[1]
 
     @F.pandas_udf(kind)
-    def nearest(vec: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(vec, pivots.shape[1]), pivots)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype(np.int32), "radius": d[np.arange(len(d)), cell]})
-
-    return rows.withColumn("_a", nearest("vec")).select("*", "_a.cell", "_a.radius").drop("_a")
-
+    def place(vec: pd.Series) -> pd.DataFrame:
+        x = _matrix(vec, dims)
+        at = tree.leaf(x)
+        return pd.DataFrame({"at": at.astype(np.int32), "radius": np.sqrt(((x - tree.centers[at]) ** 2).sum(axis=1))})
 
-def _rings(assigned: DataFrame) -> tuple[DataFrame, pd.DataFrame]:
-    """Reference rows with `ring`, and one row per ring: cell, ring, lo, hi, w, n."""
-    cuts = assigned.groupBy("cell").agg(
-        F.percentile_approx("radius", F.array(*[F.lit(i / MAX_RINGS) for i in range(1, MAX_RINGS)]), F.lit(1000)).alias("cuts"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    # few rows need few rings
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_RINGS * BLOCK_ROWS / 8.0) / F.col("_n"))).cast("int")
-    cuts = cuts.select("cell", F.array_distinct(F.filter("cuts", lambda x, i: (i + 1) % step == 0)).alias("cuts"))
-    d = assigned.join(F.broadcast(cuts), "cell")  # at most MAX_PIVOTS rows
-    d = d.withColumn("ring", F.size(F.filter("cuts", lambda x: x < F.col("radius")))).drop("cuts")
-    stats = d.groupBy("cell", "ring").agg(
-        F.min("radius").alias("lo"), F.max("radius").alias("hi"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")
-    )
-    return d, stats.toPandas()  # at most MAX_PIVOTS * MAX_RINGS rows
+    d = reference.withColumn("_a", place("vec")).select("rid", "vec", "w", "_a.at", "_a.radius")
+    box = [f(F.get("vec", F.lit(i))) for f in (F.min, F.max) for i in range(dims)]
+    stats = d.groupBy("at").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.min("radius").alias("lo"), F.max("radius").alias("hi"),
+        *[b.alias(f"b{i}") for i, b in enumerate(box)],
+    )
+    return d.drop("radius"), stats.toPandas().sort_values("at", ignore_index=True)  # at most MAX_LEAVES rows
 
 
-def _visits(queries: DataFrame, pivots: np.ndarray, stats: pd.DataFrame, need: int, step: str) -> DataFrame:
-    """The rings each query visits, as `at`.
+def _visits(queries: DataFrame, tree: Tree, stats: pd.DataFrame, need: int, step: str) -> DataFrame:
+    """The leaves each query visits, as `at`.
 
-    `near`: the closest rings that together surely hold enough vectors. `rest`: the other rings
-    that can still hold one closer than `theta`, the k-th distance found in the near rings. `all`:
-    both at once, with the radius of the near rings in place of theta.
+    `near`: the leaves of least bound that together hold enough vectors. `rest`: the other leaves that
+    can still hold one within `theta`, the k-th distance found in the near ones. `all`: every leaf.
     """
-    cells = stats["cell"].to_numpy()
-    lo, hi, w = stats["lo"].to_numpy(), stats["hi"].to_numpy(), stats["w"].to_numpy(dtype=np.float64)
-
-    def split(vec: pd.Series):
-        d = _distances(_matrix(vec, pivots.shape[1]), pivots)[:, cells]
-        upper = d + hi
-        order = np.argsort(upper, axis=1, kind="stable")
-        full = np.cumsum(w[order], axis=1) >= need
-        last = np.where(full.any(axis=1), full.argmax(axis=1), len(cells) - 1)
-        near = np.zeros(d.shape, dtype=bool)
-        np.put_along_axis(near, order, np.arange(len(cells))[None, :] <= last[:, None], axis=1)
-        bound = np.take_along_axis(upper, np.take_along_axis(order, last[:, None], 1), 1)[:, 0]
-        return near, np.maximum(np.maximum(d - hi, lo - d), 0.0), bound
-
-    def reach(lower: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        # a hair of slack keeps rounding from pruning a true neighbour
-        return lower <= (bound * (1 + 1e-9) + 1e-9)[:, None]
-
-    def lists(keep: np.ndarray) -> pd.Series:
-        return pd.Series([np.flatnonzero(k).astype(np.int32) for k in keep], dtype=object)
-
-    rings = T.ArrayType(T.IntegerType())
-
-    @F.pandas_udf(rings)
-    def once(vec: pd.Series) -> pd.Series:
-        near, lower, bound = split(vec)
-        return lists(near | reach(lower, bound))
-
-    @F.pandas_udf(rings)
+    at = stats["at"].to_numpy(np.int32)
+    lo, hi, w = (stats[c].to_numpy(np.float64) for c in ("lo", "hi", "w"))
+    dims = tree.centers.shape[1]
+    box = stats[[f"b{i}" for i in range(2 * dims)]].to_numpy(np.float64)
+    low, high, centers = box[:, :dims], box[:, dims:], tree.centers[at]
+
+    def bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bounds of the distances to all leaves, and the near ones."""
+        ball, outside = np.zeros((len(x), len(at))), np.zeros((len(x), len(at)))
+        for j in range(dims):
+            v = x[:, j, None]
+            ball += (v - centers[:, j]) ** 2
+            outside += np.maximum(np.maximum(low[:, j] - v, v - high[:, j]), 0.0) ** 2
+        ball = np.sqrt(ball)
+        lower = np.maximum(np.maximum(ball - hi, lo - ball), np.sqrt(outside))
+        order = np.lexsort((ball, lower), axis=1)
+        enough = np.cumsum(w[order], axis=1) >= need
+        last = np.where(enough.any(axis=1), enough.argmax(axis=1), len(at) - 1)
+        near = np.zeros(lower.shape, dtype=bool)
+        np.put_along_axis(near, order, np.arange(len(at)) <= last[:, None], axis=1)
+        return lower, near
+
+    def lists(vec: pd.Series, pick) -> pd.Series:
+        x, out = _matrix(vec, dims), []
+        for i in range(0, len(x), 256):
+            out += [at[k] for k in pick(i, *bounds(x[i : i + 256]))]
+        return pd.Series(out, dtype=object)
+
+    leaves = T.ArrayType(T.IntegerType())
+
+    @F.pandas_udf(leaves)
     def first(vec: pd.Series) -> pd.Series:
-        return lists(split(vec)[0])
+        return lists(vec, lambda i, lower, near: near)
 
-    @F.pandas_udf(rings)
+    @F.pandas_udf(leaves)
     def rest(vec: pd.Series, theta: pd.Series) -> pd.Series:
-        near, lower, _ = split(vec)
-        return lists(~near & reach(lower, theta.to_numpy(dtype=np.float64)))
+        # a hair of slack keeps rounding from pruning a true neighbour
+        within = theta.to_numpy(dtype=np.float64) * (1 + 1e-9) + 1e-9
+        return lists(vec, lambda i, lower, near: ~near & (lower <= within[i : i + 256, None]))
 
-    at = {"all": lambda: once("vec"), "near": lambda: first("vec"), "rest": lambda: rest("vec", "theta")}[step]()
-    return queries.withColumn("at", F.explode(at)).select("qid", "vec", "at")
+    every = F.array(*map(F.lit, at.tolist()))
+    picked = {"all": lambda: every, "near": lambda: first("vec"), "rest": lambda: rest("vec", "theta")}[step]()
+    return queries.withColumn("at", F.explode(picked)).select("qid", "vec", "at")
 
 
 def _nearest_in_block(k: int):
@@ -173,28 +215,22 @@ def _nearest_in_block(k: int):
     return run
 
 
-def _search(visits: DataFrame, ringed: DataFrame, stats: pd.DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """qid, rid, dist, w: candidates of every visited ring, block by block."""
+def _search(visits: DataFrame, planted: DataFrame, stats: pd.DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """qid, rid, dist, w: candidates of every visited leaf, block by block."""
     visitors = visits.groupBy("at").agg(F.count(F.lit(1)).alias("m")).toPandas().set_index("at")["m"]
-    stats = stats.assign(
-        parts=np.maximum(1, -(-stats["n"] // BLOCK_ROWS)).astype(int),
-        groups=np.maximum(1, -(-visitors.reindex(stats["at"]).fillna(0).to_numpy() // BLOCK_ROWS)).astype(int),
-    )
-    spark = visits.sparkSession
-    table = F.broadcast(
-        spark.createDataFrame(
-            stats[["cell", "ring", "at", "parts", "groups"]], "cell int, ring int, at int, parts int, groups int"
-        )
-    )
-    right = ringed.join(table, ["cell", "ring"]).withColumn(
-        "part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    table = pd.DataFrame(
+        {
+            "at": stats["at"],
+            "parts": np.maximum(1, -(-stats["n"] // BLOCK_ROWS)).astype(int),
+            "groups": np.maximum(1, -(-visitors.reindex(stats["at"]).fillna(0).to_numpy() // BLOCK_ROWS)).astype(int),
+        }
     )
+    table = F.broadcast(visits.sparkSession.createDataFrame(table, "at int, parts int, groups int"))
+    right = planted.join(table, "at").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     right = right.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(
         *[F.col(x).alias(x) for x in ("at", "part", "grp", "rid", "vec", "w")]
     )
-    left = visits.join(table.select("at", "parts", "groups"), "at").withColumn(
-        "grp", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int")
-    )
+    left = visits.join(table, "at").withColumn("grp", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int"))
     own = F.col("qid") if exclude_self else F.lit("")
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         *[F.col(x).alias(x) for x in ("at", "part", "grp", "qid", "vec")], own.alias("own")
@@ -220,19 +256,19 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, exclude_self: bool = F
     the query's own vector (qid = rid) is left out.
     """
     total = reference.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    pivots = _pivots(reference, total)
-    ringed, stats = _rings(_assign(reference, pivots))
-    stats = stats.sort_values(["cell", "ring"], ignore_index=True)
-    stats["at"] = np.arange(len(stats), dtype=np.int32)
+    if not total:
+        return queries.select("qid", F.col("qid").alias("rid"), F.lit(0.0).alias("dist"), F.lit(0).cast("bigint").alias("take")).limit(0)
+    tree = _tree(reference, total)
+    planted, stats = _planted(reference, tree)
     need = k + (1 if exclude_self else 0)
-    if len(stats) < TWO_STEP_RINGS:
-        found = _search(_visits(queries, pivots, stats, need, "all"), ringed, stats, k, exclude_self)
+    if len(stats) < TWO_STEP_LEAVES:
+        found = _search(_visits(queries, tree, stats, need, "all"), planted, stats, k, exclude_self)
     else:
-        near = _search(_visits(queries, pivots, stats, need, "near"), ringed, stats, k, exclude_self).checkpoint()
-        # without k neighbours among the near rings (a tiny reference) nothing may be pruned
+        near = _search(_visits(queries, tree, stats, need, "near"), planted, stats, k, exclude_self).checkpoint()
+        # without k neighbours in the near leaves (a tiny reference) nothing may be pruned
         kth = F.min(F.when(F.col("_cum") >= k, F.col("dist")))
         theta = _with_counts(near).groupBy("qid").agg(F.coalesce(kth, F.lit(float("inf"))).alias("theta"))
-        rest = _visits(queries.join(theta, "qid"), pivots, stats, need, "rest")
-        found = near.unionByName(_search(rest, ringed, stats, k, exclude_self))
+        rest = _visits(queries.join(theta, "qid"), tree, stats, need, "rest")
+        found = near.unionByName(_search(rest, planted, stats, k, exclude_self))
     take = F.least(F.col("w"), F.lit(k) - (F.col("_cum") - F.col("w")))
     return _with_counts(found).select("qid", "rid", "dist", take.alias("take")).filter("take > 0")
