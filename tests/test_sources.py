@@ -301,3 +301,27 @@ def test_long_prefixed_port(spark):
 def test_long_binary_ports(spark):
     d = spark.createDataFrame([("0b" + "0" * 90 + "1010000",), ("0b" + "1" * 4,)], "p string")
     assert [r[0] for r in d.select(bi.service_port(F.col("p"))).collect()] == [80, 15]
+
+
+@pytest.mark.parametrize("few", [1, 64])
+def test_headers_read_in_tasks(spark, tmp_path, monkeypatch, few):
+    """Files of two layouts, one compressed, one empty, one with a byte-order mark and a quoted name."""
+    import gzip
+
+    monkeypatch.setattr(nm, "DRIVER_HEADERS", few)
+    for i in range(6):
+        (tmp_path / f"a {i}.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text('﻿"y","z, w"\r\n3,4\r\n')
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"x,y\n5,6\n"))
+    (tmp_path / "d.csv").write_text("")
+    files = spark.read.text(str(tmp_path)).inputFiles()
+    found = nm.headers(spark, files)
+    assert {k: len(v) for k, v in found.items()} == {("x", "y"): 7, ("y", "z, w"): 1} | ({(): 1} if any("d.csv" in f for f in files) else {})
+    rows = nm.read_rows(spark, str(tmp_path)).select("x", "y", "`z, w`").collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [("1", "2", None)] * 6 + [("5", "6", None), (None, "3", "4")]))
+
+
+def test_headers_of_a_store_that_tasks_cannot_open(spark, monkeypatch):
+    monkeypatch.setattr(nm, "DRIVER_HEADERS", 1)
+    monkeypatch.setattr(nm, "header", lambda s, file: (file,))
+    assert nm.headers(spark, ["viewfs://store/a.csv", "viewfs://store/b.csv"]) == {(f,): [f] for f in ("viewfs://store/a.csv", "viewfs://store/b.csv")}

@@ -185,7 +185,8 @@ def _g07(s, d):
 Q["g07_train_job"] = _g07
 S["g07_train_job"] = f"""WITH {features_sql()} SELECT 'random_forest_v1' AS detector_name, 1 AS schema_version, 29 AS feature_count,
  count(*) AS training_flow_count, count(*) FILTER (label='beacon') AS training_beacon_flow_count,
- count(*) FILTER (label='benign') AS training_benign_flow_count, 3 AS executed_folds, count(*) AS out_of_fold_prediction_count FROM ff"""
+ count(*) FILTER (label='benign') AS training_benign_flow_count,
+ CAST(least(5, count(*) FILTER (label='beacon'), count(*) FILTER (label='benign')) AS INT) AS executed_folds, count(*) AS out_of_fold_prediction_count FROM ff"""
 Q["g08_load_model"] = lambda s, d: tidy(
     md.score(feature_table(s, d), artifact(s, d).detector).select(*OPS_KEY, "score", "predicted_label")
 )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewatch.operators import bidir as bd
 from tidewatch.operators import evaluate as ev
 from tidewatch.operators import rules as rl
 from tidewatch.operators import scoring as sc
+from tidewatch.operators.ranks import ensure_checkpoint_dir
 from tidewatch.plans.common import (
     RULES,
     as_integers,
@@ -71,8 +75,43 @@ NORM_OUT = f"""row_number, epoch_us(CAST(replace(timestamp, 'Z', '') AS TIMESTAM
  {num('TRY_CAST(duration_seconds AS DOUBLE)', 'duration_seconds')}, CAST(total_packets AS BIGINT) AS total_packets, label"""
 
 
+def _folder(s, name):
+    """A new folder that all executors share."""
+    ensure_checkpoint_dir(s)
+    return f"{s.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_files(s, rows, name, *by):
+    """The rows written as CSV files with headers, in folders by the columns of `by`."""
+    path = _folder(s, name)
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**exact).partitionBy(*by).csv(path)
+    return path
+
+
+def zeek_files(s, rows):
+    """The rows written as logs, each with its #fields line."""
+    names = rows.columns
+
+    def headed(batches):
+        head = ["#separator \\x09", "\t".join(["#fields", *names])]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([*head, *b.column(0).to_pylist()], pa.string())], names=["value"])
+            head = []
+
+    path = _folder(s, "zeek")
+    line = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in names])
+    rows.select(line.alias("value")).mapInArrow(headed, "value string").write.text(path)
+    return path
+
+
+def numbered(df):
+    """Files carry the number of a row as text."""
+    return df.withColumn("row_number", F.col("row_number").cast("bigint"))
+
+
 def _normalized(s, d):
-    p = nm.parse_normalized(event_text(s, d)).filter("issue IS NULL")
+    p = numbered(nm.read_normalized(s, csv_files(s, event_text(s, d), "normalized"), mode="collect")).filter("issue IS NULL")
     return tidy(p.withColumn("t_us", F.unix_micros("ts")).select(*NORM_COLS))
 
 
@@ -87,7 +126,7 @@ S["a02_validation_counts"] = f"WITH {NORM_SQL} SELECT count(*) AS row_count, cou
 def _labelled(s, d):
     t = event_text(s, d).withColumnRenamed("label", "truth")
     t = t.withColumn("truth", F.when(F.col("row_number") % 5 == 0, "").otherwise(F.col("truth")))
-    return nm.parse_normalized(t, True, "truth").select("row_number", "label", "issue")
+    return numbered(nm.read_normalized(s, csv_files(s, t, "labelled"), True, "truth", mode="collect")).select("row_number", "label", "issue")
 
 
 Q["a03_read_labelled_normalized"] = _labelled
@@ -125,7 +164,7 @@ def zeek_text(s, d):
 
 
 Q["a04_read_zeek_conn"] = lambda s, d: tidy(
-    fg.parse_zeek(zeek_text(s, d)).select(
+    numbered(fg.read_zeek_conn(s, zeek_files(s, zeek_text(s, d)), mode="collect")).select(
         "row_number", "skip_reason", "issue",
         *[F.when(F.col("skip_reason").isNull() & F.col("issue").isNull(), F.col(x)).alias(x)
           for x in ("src_ip", "dst_ip", "dst_port", "protocol", "src_port", "total_bytes", "total_packets", "duration_seconds")],
@@ -176,7 +215,7 @@ def netflow_text(s, d):
 
 
 def _netflow(s, d):
-    p = fg.parse_netflow(netflow_text(s, d))
+    p = numbered(fg.read_netflow(s, csv_files(s, netflow_text(s, d), "netflow"), mode="collect"))
     ok = F.col("skip_reason").isNull() & F.col("issue").isNull()
     # the three time formats carry milli- or microseconds, so compare at the millisecond
     return tidy(
@@ -237,10 +276,17 @@ S["a08_ingest_diagnostics"] = f"""WITH {ZEEK_SQL} SELECT count(*) AS input_row_c
 
 def _formats(s, d):
     cols = ["src_ip", "dst_ip", "dst_port", "protocol", "total_bytes", "skip_reason", "issue"]
-    a = nm.parse_normalized(event_text(s, d)).withColumn("skip_reason", tx.no_issue()).select(*cols)
-    b = fg.parse_zeek(zeek_text(s, d)).select(*cols)
-    x = a.withColumn("fmt", F.lit("normalized-csv")).unionByName(b.withColumn("fmt", F.lit("zeek-conn")))
-    x = x.unionByName(fg.parse_netflow(netflow_text(s, d)).select(*cols).withColumn("fmt", F.lit("netflow-ipfix-csv")))
+    paths = {
+        "normalized-csv": csv_files(s, event_text(s, d), "normalized"),
+        "zeek-conn": zeek_files(s, zeek_text(s, d)),
+        "netflow-ipfix-csv": csv_files(s, netflow_text(s, d), "netflow"),
+    }
+    x = None
+    for fmt, path in paths.items():
+        r = fg.read_events(s, path, fmt, mode="collect")
+        r = r if "skip_reason" in r.columns else r.withColumn("skip_reason", tx.no_issue())
+        r = r.select(*cols).withColumn("fmt", F.lit(fmt))
+        x = r if x is None else x.unionByName(r)
     return x.groupBy("fmt").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("issue").isNull() & F.col("skip_reason").isNull()).alias("loaded"),
@@ -302,8 +348,16 @@ def parsed_sql(name: str = "pb", background: str = "skip", policy: str = "conser
 
 REC_COLS = ["record_id", "scenario_name", "t_us", "duration_seconds", "protocol", "src_ip", "src_port", "direction", "dst_ip",
             "dst_port", "state", "total_packets", "total_bytes", "src_bytes", "label", "label_category"]
+def _binetflow(s, d):
+    """One folder of files for each scenario, all read at once."""
+    path = csv_files(s, bidir_text(s, d).withColumn("scenario", F.col("scenario_name")), "binetflow", "scenario")
+    scenario = F.url_decode(F.regexp_extract("source_file", "/scenario=([^/]*)/", 1))
+    read = bi.read_binetflow(s, path, scenario)
+    return read.withColumn("record_id", F.col("record_id").cast("bigint"))
+
+
 Q["a10_read_binetflow"] = lambda s, d: tidy(
-    bi.records(bi.parse_bidir(bidir_text(s, d))).withColumn("t_us", F.unix_micros("ts")).select(*REC_COLS)
+    bi.records(_binetflow(s, d)).withColumn("t_us", F.unix_micros("ts")).select(*REC_COLS)
 )
 S["a10_read_binetflow"] = f"""WITH {parsed_sql()} SELECT {', '.join(num(x) if x == 'duration_seconds' else x for x in REC_COLS)}
  FROM pb WHERE skip_reason IS NULL"""
@@ -347,7 +401,7 @@ def _research(s, d):
         F.when(i % 5 == 0, "").otherwise(F.col("src_port")).alias("src_port"),
         F.when(i % 3 == 0, "").otherwise(F.col("direction")).alias("direction"),
     )
-    return bi.parse_research(t)
+    return bi.read_research_events(s, csv_files(s, t, "research")).withColumn("issue", tx.no_issue())
 
 
 Q["a15_read_research_events"] = _research

@@ -148,16 +148,17 @@ def with_policies(rows: DataFrame, policies: Mapping[str, LabelPolicy]) -> DataF
 def read_binetflow(
     spark: SparkSession,
     path: str | Sequence[str],
-    scenario_name: str,
+    scenario_name: str | Column,
     policy: LabelPolicy = CONSERVATIVE,
 ) -> DataFrame:
-    """Records of one scenario with their skip reason."""
+    """Records with their skip reason. The scenario is that of all files, or a column, such as a part
+    of `source_file`."""
     rows = read_rows(spark, path)
     missing = [c for c in BIDIR_COLUMNS if c not in rows.columns]
     if missing:
         raise ValueError(f"CTU-13 file is missing required columns: {missing}")
     rows = rows.drop("_block", "_order")
-    return parse_bidir(rows, policy).withColumn("scenario_name", F.lit(scenario_name))
+    return parse_bidir(rows.drop("scenario_name"), policy).withColumn("scenario_name", F.lit(scenario_name))
 
 
 def records(parsed: DataFrame) -> DataFrame:

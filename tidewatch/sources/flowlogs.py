@@ -280,11 +280,12 @@ FORMATS = {
 }
 
 
-def read_events(spark: SparkSession, paths: str | Sequence[str], fmt: str) -> DataFrame:
-    """One schema whatever the format, so results can be combined with unionByName."""
+def read_events(spark: SparkSession, paths: str | Sequence[str], fmt: str, mode: str = "strict") -> DataFrame:
+    """One schema whatever the format, so results can be combined with unionByName. `collect` keeps
+    every row with its issue."""
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported operational input format: {fmt}")
-    return FORMATS[fmt](spark, paths)
+    return FORMATS[fmt](spark, paths, mode=mode)
 
 
 def loaded(events: DataFrame) -> DataFrame:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,9 @@ from tidewatch.schema import EVENT, LABELS, PROTOCOLS, REQUIRED
 from tidewatch.sources import text as tx
 
 
+DRIVER_HEADERS = 64  # files whose headers cost less on the driver than in a job
+
+
 def missing_columns(columns: Sequence[str], require_label: bool = False, label_column: str = "label") -> list[tuple[str, str]]:
     """(column, message) for every header problem."""
     out = [(c, f"Missing required column: {c}") for c in REQUIRED if c not in columns]
@@ -100,6 +107,10 @@ def validate_normalized(
     return issues, counts
 
 
+def _names(line: str | None) -> tuple[str, ...]:
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), [])) if line else ()
+
+
 def header(spark: SparkSession, file: str) -> tuple[str, ...]:
     """The column names in the first line of a file; none in an empty one."""
     jvm = spark.sparkContext._jvm
@@ -111,7 +122,41 @@ def header(spark: SparkSession, file: str) -> tuple[str, ...]:
         line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "utf-8")).readLine()
     finally:
         stream.close()
-    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), [])) if line else ()
+    return _names(line)
+
+
+def _first_lines(batches):
+    """file, line (null if empty) and whether a task can open such a file."""
+    for b in batches:
+        lines, opened = [], []
+        for file in b.column("file").to_pylist():
+            line, ok = None, True
+            try:
+                fs, path = pafs.FileSystem.from_uri(file)
+                with fs.open_input_stream(path, compression="detect") as raw, io.TextIOWrapper(io.BufferedReader(raw), "utf-8") as text:
+                    line = text.readline().rstrip("\r\n")
+            except (pa.ArrowException, OSError, ValueError):
+                ok = False
+            lines.append(line or None)
+            opened.append(ok)
+        yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(lines, pa.string()), pa.array(opened, pa.bool_())], names=["file", "line", "opened"])
+
+
+def headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header. Of many files, tasks read the first lines; the driver reads those of a
+    few, and those in stores that only Spark's own readers open."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    rest = list(files)
+    if len(rest) > DRIVER_HEADERS:
+        listed = spark.createDataFrame([(f,) for f in rest], "file string").repartition(min(len(rest) // DRIVER_HEADERS + 1, 1000))
+        found = listed.mapInArrow(_first_lines, "file string, line string, opened boolean").orderBy("file").toArrow().to_pylist()
+        for r in found:
+            if r["opened"]:
+                out.setdefault(_names(r["line"]), []).append(r["file"])
+        rest = [r["file"] for r in found if not r["opened"]]
+    for file in rest:
+        out.setdefault(header(spark, file), []).append(file)
+    return out
 
 
 def read_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -119,15 +164,13 @@ def read_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     Quotes inside a quoted field are doubled and a backslash is an ordinary character. Every file has
     its own header: files of one header are read together, and a column that a file lacks is null.
-    The driver reads the first line of each file, as it lists the files anyway.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for file in spark.read.text(paths).inputFiles():
-        layouts.setdefault(header(spark, file), []).append(file)
+    layouts = headers(spark, spark.read.text(paths).inputFiles())
     out = None
     for names, files in layouts.items() or [((), paths)]:
         schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        files = [unquote(f) for f in files]  # listed as URIs, read as paths
         reader = spark.read.option("header", True).option("escape", '"').schema(schema) if names else spark.read
         rows = tx.with_place(reader.csv(files) if names else reader.text(files).drop("value"))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
