@@ -9,7 +9,7 @@ NAMES = [
     "a02_validate_normalized", "a04_read_zeek_conn", "a10_read_binetflow", "c03_flow_ordering", "d22_extract_features",
     "d22_extract_features_sliced", "e10_rule_score", "f07_detect_zscore", "f09_local_outlier_factor", "g12_threshold_evaluation",
     "b03_alerts_table", "j11_multi_seed_rules", "j17_evidence_summary", "l01_bidir_dataset", "l06_native_split", "l19_distribution_summary",
-    "n03_three_stages",
+    "n01_report_coverage",
 ]
 
 

@@ -10,14 +10,13 @@ from tidewatch.operators import bidir as bd
 from tidewatch.operators import evaluate as ev
 from tidewatch.operators import models as md
 from tidewatch.operators import reports as rp
-from tidewatch.operators import rules as rl
 from tidewatch.operators import scoring as sc
 from tidewatch.operators.ranks import ensure_checkpoint_dir
 from tidewatch.plans import jobs
 from tidewatch.plans.common import KEY, PARAMS, RULES, events, feature_table, features_sql, num, stored, tidy
 from tidewatch.plans.q_eval import (
     ALL_SQL,
-    CONF_SQL,
+    CASES_SQL,
     EVS_SQL,
     MET_OUT,
     MET_SQL,
@@ -28,7 +27,7 @@ from tidewatch.plans.q_eval import (
     ladder_records,
     multi_sql,
 )
-from tidewatch.plans.q_sources import BREC_SQL, bidir_features, native, rule_records
+from tidewatch.plans.q_sources import NATIVE_SQL, bidir_features, native, parsed_sql
 from tidewatch.schema import MODEL_FEATURES, OPS_KEY, ZSCORE_FEATURES, AnomalyParams, ModelParams
 
 Q: dict = {}
@@ -274,7 +273,11 @@ def _study(s, d):
     return md.ablation(train, test, p=MP).withColumnRenamed("label", "true_label")
 
 
-Q["j13_model_threshold_sweep"] = lambda s, d: tidy(md.threshold_study(*_train_test(s, d), p=MP))
+def model_sweep(s, d):
+    return stored(s, d, "model_sweep", lambda s, d: md.threshold_study(*_train_test(s, d), p=MP))
+
+
+Q["j13_model_threshold_sweep"] = lambda s, d: tidy(model_sweep(s, d))
 Q["j13_model_threshold_sweep_holdout"] = lambda s, d: tidy(
     md.threshold_study(
         ev.holdout_split(_train_test(s, d)[0], ["profile_1"]),
@@ -362,28 +365,29 @@ def comparison(s, d):
     return ev.compare_detectors(all_records(s, d).drop("evaluation_scope"), ["detector_name", "operating_point"])
 
 
-def rule_sweep(s, d):
-    """A sweep over the rule score scaled to 0..1, in the layout of a model sweep."""
-    x = rl.detect_rules(feature_table(s, d), RULES).select(F.col("label").alias("true_label"), (F.col("score") / 8.3).alias("score"))
-    a = ev.threshold_sweep(x, [0.3, 0.4, 0.6]).withColumn("feature_set", F.lit("full"))
-    return a.unionByName(ev.threshold_sweep(x, [0.3, 0.4, 0.6]).withColumn("feature_set", F.lit("timing_size")))
+def report(s, d):
+    """The baselines and the sweep of the forest."""
+    return rp.report_detectors(comparison(s, d), model_sweep(s, d), AT)
 
 
-Q["n01_report_detectors"] = lambda s, d: tidy(rp.report_detectors(comparison(s, d), rule_sweep(s, d), AT))
-_CMP = f"""{ALL_SQL}, cm AS (SELECT detector_name, operating_point, mean_precision, mean_recall, mean_f1, mean_false_positive_rate,
- tp AS combined_tp, fp AS combined_fp, tn AS combined_tn, fn AS combined_fn FROM ({multi_sql('detector_name, operating_point', 'al')})),
-rs AS (SELECT label AS true_label, s0/8.3::DOUBLE AS score FROM r0),
-sw AS (SELECT *, {MET_SQL} FROM (SELECT feature_set, threshold, count(*) FILTER (true_label='beacon' AND score >= threshold) AS tp,
- count(*) FILTER (true_label<>'beacon' AND score >= threshold) AS fp, count(*) FILTER (true_label<>'beacon' AND score < threshold) AS tn,
- count(*) FILTER (true_label='beacon' AND score < threshold) AS fn FROM rs,
- (VALUES ('full', 0.3::DOUBLE), ('full', 0.6::DOUBLE), ('timing_size', 0.4::DOUBLE)) t(feature_set, threshold) GROUP BY ALL)),
-dc AS (SELECT detector_name, operating_point, '' AS feature_set, mean_precision, mean_recall, mean_f1, mean_false_positive_rate, combined_tp,
- combined_fp, combined_tn, combined_fn, 'supervised_ml_hardened_grid' AS source_experiment, 'baseline_comparison' AS source_file FROM cm
- UNION ALL SELECT 'random_forest_v1', concat('threshold=', threshold, ';features=', feature_set), feature_set, precision, recall, f1, false_positive_rate,
- tp, fp, tn, fn, 'supervised_threshold_sweep', 'supervised_threshold_sweep_summary' FROM sw)"""
-S["n01_report_detectors"] = f"""WITH {_CMP} SELECT detector_name, operating_point, feature_set, 'standard_hardened_grid' AS evaluation_scope,
- {', '.join(num(f'mean_{m}') for m in ev.METRICS)}, combined_tp, combined_fp, combined_tn, combined_fn, source_experiment, source_file,
- '{AT}' AS generated_at, '' AS source_export_timestamp_utc, '' AS feature_schema_version FROM dc"""
+def support(*keys):
+    """What the counts of a metrics row add up to, whatever a model predicts."""
+    return [*keys, (F.col("tp") + F.col("fn")).alias("beacons"), (F.col("fp") + F.col("tn")).alias("benign")]
+
+
+# A forest has no SQL; that of the coverage repeats which rows a report has, and on how many flows they rest.
+Q["n01_report_detectors"] = lambda s, d: tidy(report(s, d))
+Q["n01_report_coverage"] = lambda s, d: report(s, d).withColumnsRenamed({f"combined_{x}": x for x in ("tp", "fp", "tn", "fn")}).select(
+    *support("detector_name", "operating_point", "feature_set", "source_experiment", "source_file", "generated_at")
+)
+S["n01_report_coverage"] = f"""WITH {ALL_SQL}, cm AS (SELECT detector_name, operating_point, tp, fp, tn, fn FROM ({multi_sql('detector_name, operating_point', 'al')})),
+te AS (SELECT label FROM (SELECT *, {CASES_SQL} FROM ff) WHERE seed >= 3),
+sw AS (SELECT threshold, feature_set, (SELECT count(*) FROM te WHERE label = 'beacon') AS beacons, (SELECT count(*) FROM te WHERE label <> 'beacon') AS benign
+ FROM (VALUES ('full', '0.3'), ('full', '0.6'), ('timing_size', '0.4')) t(feature_set, threshold))
+SELECT detector_name, operating_point, '' AS feature_set, 'supervised_ml_hardened_grid' AS source_experiment, 'baseline_comparison' AS source_file,
+ '{AT}' AS generated_at, tp+fn AS beacons, fp+tn AS benign FROM cm
+UNION ALL SELECT 'random_forest_v1', concat('threshold=', threshold, ';features=', feature_set), feature_set, 'supervised_threshold_sweep',
+ 'supervised_threshold_sweep_summary', '{AT}', beacons, benign FROM sw"""
 
 
 def evidence_thresholds(s, d):
@@ -404,39 +408,46 @@ LABEL_SQL = """CASE WHEN detector_name='random_forest_v1' THEN CASE WHEN contain
  WHEN contains(operating_point,'threshold=0.3') THEN 'RF @ 0.3' WHEN contains(operating_point,'threshold=0.4') THEN 'RF timing+size @ 0.4' ELSE 'RF' END
  WHEN detector_name='rule_baseline_v2_hardened_final' THEN 'Rule' WHEN detector_name='statistical_zscore_baseline_v1' THEN 'Statistical'
  ELSE detector_name END"""
-Q["n03_headline"] = lambda s, d: tidy(rp.headline(rp.report_detectors(comparison(s, d), rule_sweep(s, d), AT)))
-S["n03_headline"] = f"""WITH {_CMP} SELECT 'Synthetic benchmark evaluation' AS story_stage, {LABEL_SQL} AS detector_label, detector_name, operating_point,
- {', '.join(num(f'mean_{m}', m) for m in ev.METRICS)}, source_experiment FROM dc"""
+Q["n03_headline"] = lambda s, d: tidy(rp.headline(report(s, d)))
 Q["n03_evidence_story"] = lambda s, d: tidy(rp.evidence_story(evidence_thresholds(s, d), 0.05))
 S["n03_evidence_story"] = f"""WITH {_TH} SELECT scenario_family, 'Rule' AS detector_label, operating_point, {num('reliability_target')}, first_reliable_event_count,
  CASE WHEN first_reliable_event_count IS NULL THEN 'not_reliable_in_sweep' WHEN contains(scenario_family,'time_size') THEN 'evasive_regime_more_history'
  ELSE 'easy_regime_low_history' END AS interpretation FROM rt WHERE abs(reliability_target-0.05) < 1e-9"""
 
 
-def policy_metrics(s, d):
-    return ev.classification_metrics(rule_records(s, d), ["policy_name", "detector_name", "operating_point"])
+def conservative(metrics):
+    return metrics.withColumn("policy_name", F.lit("conservative"))
 
 
-def _stages(s, d):
-    m = policy_metrics(s, d)
-    native_rows = m.withColumns({"feature_path": F.lit("ctu_native"), "compatibility_status": F.lit("compatible")}).filter(F.lit(False))
-    sup = m.withColumn("detector_name", F.lit("ctu_native_random_forest_v1"))
-    return tidy(rp.three_stages(m, native_rows, sup))
+def native_metrics(s, d):
+    """Forest and logistic regression, each scenario scored by models of the others."""
+    return conservative(ev.classification_metrics(native_predictions(s, d), ["detector_name", "operating_point"]))
 
 
-Q["n03_three_stages"] = _stages
-_PM = f"""{BREC_SQL}, pm AS (SELECT *, {MET_SQL} FROM (SELECT policy_name, detector_name, operating_point, {CONF_SQL} FROM rec GROUP BY ALL))"""
-S["n03_three_stages"] = f"""WITH {_PM} SELECT 'Synthetic direct transfer to CTU' AS story_stage, policy_name AS label_policy, 'Rule' AS detector_label,
- 'transferred_flowfeatures' AS feature_path, 'compatible_existing_transfer_path' AS compatibility_status, {MET_OUT} FROM pm WHERE policy_name='conservative'
-UNION ALL SELECT 'Within-CTU supervised evaluation', policy_name, 'CTU-native RF', 'ctu_native', 'compatible_ctu_native_training', {MET_OUT}
- FROM pm WHERE policy_name='conservative'
-UNION ALL SELECT 'CTU-native unsupervised evaluation', 'conservative', '', '', 'source_missing', NULL, NULL, NULL, NULL"""
-Q["n03_tradeoff"] = lambda s, d: tidy(
-    rp.tradeoff(policy_metrics(s, d).withColumn("detector_name", F.lit("ctu_native_logistic_regression_v1")))
-)
-S["n03_tradeoff"] = f"""WITH {_PM} SELECT policy_name AS label_policy, 'CTU-native LR' AS detector_label, {MET_OUT}, tp, fp, tn, fn,
- CASE WHEN policy_name='background_as_benign_sensitivity' THEN 'background_sensitivity_is_not_headline_result'
- ELSE 'higher_recall_higher_false_positive_rate' END AS interpretation FROM pm"""
+def stages(s, d):
+    """Models carried over to the records, LOF on the records, and models trained on the records."""
+    moved = conservative(ev.classification_metrics(transfer(s, d), ["detector_name", "operating_point"]))
+    found = native_detections(s, d).withColumn("true_label", F.col("label")).withColumn("operating_point", F.lit("benign_reference;contamination=0.03"))
+    lof = bd.compatibility_table(conservative(ev.classification_metrics(found, ["detector_name", "operating_point"])), [])
+    return rp.three_stages(moved, lof, native_metrics(s, d))
+
+
+Q["n03_three_stages"] = lambda s, d: tidy(stages(s, d))
+Q["n03_stage_coverage"] = lambda s, d: stages(s, d).select("story_stage", "label_policy", "detector_label", "feature_path", "compatibility_status")
+S["n03_stage_coverage"] = f"""WITH {parsed_sql()}, {NATIVE_SQL}
+SELECT s AS story_stage, 'conservative' AS label_policy, l AS detector_label, p AS feature_path, c AS compatibility_status FROM (VALUES
+ ('Synthetic direct transfer to CTU', 'Rule', 'transferred_flowfeatures', 'compatible_existing_transfer_path'),
+ ('Synthetic direct transfer to CTU', 'LOF', 'transferred_flowfeatures', 'compatible_existing_transfer_path'),
+ ('Synthetic direct transfer to CTU', 'Synthetic RF @ 0.6', 'transferred_flowfeatures', 'compatible_existing_transfer_path'),
+ ('Synthetic direct transfer to CTU', 'Synthetic RF @ 0.3', 'transferred_flowfeatures', 'compatible_existing_transfer_path'),
+ ('CTU-native unsupervised evaluation', 'LOF', 'ctu_native', 'compatible_unsupervised_reference'),
+ ('Within-CTU supervised evaluation', 'CTU-native LR', 'ctu_native', 'compatible_ctu_native_training'),
+ ('Within-CTU supervised evaluation', 'CTU-native RF', 'ctu_native', 'compatible_ctu_native_training')) t(s, l, p, c) WHERE EXISTS (FROM nt)"""
+Q["n03_tradeoff"] = lambda s, d: tidy(rp.tradeoff(native_metrics(s, d)))
+Q["n03_tradeoff_support"] = lambda s, d: rp.tradeoff(native_metrics(s, d)).select(*support("label_policy", "detector_label", "interpretation"))
+S["n03_tradeoff_support"] = f"""WITH {parsed_sql()}, {NATIVE_SQL}, n AS (SELECT count(*) FILTER (label='beacon') AS beacons, count(*) FILTER (label<>'beacon') AS benign FROM nt)
+SELECT 'conservative' AS label_policy, 'CTU-native LR' AS detector_label, 'higher_recall_higher_false_positive_rate' AS interpretation, beacons, benign FROM n
+UNION ALL SELECT 'conservative', 'CTU-native RF', 'lower_false_positive_rate_lower_recall', beacons, benign FROM n"""
 Q["n04_display_labels"] = lambda s, d: all_records(s, d).groupBy(
     rp.display_label(F.col("detector_name"), F.col("operating_point")).alias("detector_label")
 ).agg(F.count(F.lit(1)).alias("records"))
