@@ -5,8 +5,7 @@ is counted for each class; below it both back off to one set of continuation cou
 too rare to judge gets the same probability from both. A document is judged by length-normalised
 ratios of log-likelihoods: that of all its words by their letters, that of its most toxic word by
 the letters of that word, and what its suspicious words have beyond a margin by the words of the
-document. A logistic curve turns them into a probability. It is fitted on a fold of rows that its
-models have not counted; the models that score count these rows too.
+document. A logistic curve, fitted on rows that were not counted, turns them into a probability.
 
 The counts, the probabilities and the scores of the words are tables that Spark joins; none is held
 by the driver or a task. Only the commonest grams and words, a fixed number at most, are also handed to
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.files import stored
 
-#: letters, digits, and the signs that stand for letters in disguised spellings
-WORD = re.compile(r"[\w@$*#]+(?:!+[\w@$*#]+)*")
+#: a letter with the letters, digits and signs around it that disguised spellings are made of
+WORD = re.compile(r"[\d_@$*#]*[^\W\d_][\w@$*#]*(?:!+[\w@$*#]+)*")
 ORDER = 5
 SYMBOL = 12  # bits of a symbol
 #: a character below PLAIN is one symbol, any other two, of ranges of their own
@@ -36,7 +35,7 @@ PLAIN = 0x780
 PRIOR_LETTERS, PRIOR_WORDS, PRIOR_TEXT = 5.0, 20.0, 50.0  # added to lengths: very short ones need more evidence
 MARGIN = 1.5  # ratio of a single word that is taken for chance
 STEPS = 100  # of 1 in a ratio when the curve is fitted
-REMEMBER = 500_000
+REMEMBER = 200_000  # different words a task holds before it hands on what it has counted
 GRID = 1 << 24  # of 1 in a ratio: whole numbers have the same sum in any order
 COMMON_GRAMS, COMMON_WORDS = 1 << 18, 1 << 17  # looked up in tasks, all others by joins
 LONG = 32  # letters of a word that is named by its digest
@@ -387,11 +386,11 @@ def score_toxicity(
     predicted (1 from 0.5 on); columns of these names are replaced.
 
     The model is learned from the texts of `training` that have a label of 0 or 1, but for those
-    whose key's crc32 is a multiple of 5 (held_out). The curve is fitted on remainder 1 with models
-    of the others; then all four are counted. Every text is scored from its words alone. A text
-    without words has ratios of 0. Where a key has several labels the largest counts. With only one
-    label, or none, every score is the same. Repeated rows are scored alike; columns of any other
-    name pass through; an empty table gives an empty table.
+    whose key's crc32 is a multiple of 5 (held_out): of the rest, remainder 1 fits the curve, and the
+    others are counted. Every text is scored from its words alone. A text without words has ratios
+    of 0. Where a key has several labels the largest counts. With only one label, or none, every score
+    is the same. Repeated rows are scored alike; columns of any other name pass through; an empty
+    table gives an empty table.
     """
     own = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold_of(F.col(key)) != 0))
     own = own.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
@@ -399,17 +398,17 @@ def score_toxicity(
     side = side.join(own.hint("shuffle_hash"), "key")
     fold = fold_of(F.col("key"))
 
-    def ratios(model: DataFrame, texts: DataFrame) -> DataFrame:
-        return rate_texts(texts, rate_words(count_words(texts, "text"), model))
-
+    apart = side.filter(fold == 1)
+    texts = docs.select(F.col(text).alias("text"))
+    if docs is not training:
+        texts = texts.union(apart.select("text"))
+    found = rate_texts(texts, rate_words(count_words(texts, "text"), fit_ratio(side.filter(fold != 1), "text", "label")))
     # the curve: counts of labels by the ratios in steps
     inputs = ["whole", "top", "density"]
-    apart = side.filter(fold == 1)
-    rated = apart.select("label", digest_of(F.col("text")).alias("digest")).join(ratios(fit_ratio(side.filter(fold != 1), "text", "label"), apart.select("text")), "digest")
+    rated = apart.select("label", digest_of(F.col("text")).alias("digest")).join(found, "digest")
     steps = [F.rint(F.col(c) * STEPS).alias(c) for c in inputs]
     bins = rated.groupBy(*steps, "label").agg(F.count(F.lit(1)).alias("n")).toPandas()  # few: ratios are small
     curve = fit_curve(bins[inputs].to_numpy(np.float64) / STEPS, bins["label"].to_numpy(np.int64), bins["n"].to_numpy(np.float64))
-    found = ratios(fit_ratio(side, "text", "label"), docs.select(F.col(text).alias("text")))
 
     added = ["held_out", "score", "predicted"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
