@@ -28,7 +28,8 @@ def packed(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels of this stage's own documents, rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_toxicity(packed(docs), docs, labels, keep=[OWN])
+    own = packed(docs)
+    scored = toxicity.score_toxicity(own, own, labels, keep=[OWN])
     return scored.filter(F.col("predicted") == 0).select(f"`{OWN}`.*")
 
 
