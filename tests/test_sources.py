@@ -325,3 +325,25 @@ def test_headers_of_a_store_that_tasks_cannot_open(spark, monkeypatch):
     monkeypatch.setattr(nm, "DRIVER_HEADERS", 1)
     monkeypatch.setattr(nm, "header", lambda s, file: (file,))
     assert nm.headers(spark, ["viewfs://store/a.csv", "viewfs://store/b.csv"]) == {(f,): [f] for f in ("viewfs://store/a.csv", "viewfs://store/b.csv")}
+
+
+def test_scoring_reads_the_files_once(spark, tmp_path, put):
+    """After the events are loaded nothing opens the files again; bad rows still fail by number."""
+    import os
+
+    rows = "".join(f"2026-01-01T00:{i // 60:02}:{i % 60:02}Z,10.0.0.1,,->,10.0.0.2,443,tcp,{100 + i % 3},,,\n" for i in range(0, 600, 30))
+    file = put("once.csv", NORM + rows)
+    events = fg.load_events(spark, file, "normalized-csv", str(tmp_path / "events"))
+    want = fg.read_events(spark, file, "normalized-csv").orderBy("ts").collect()
+    os.remove(file)
+    assert events.select(*fg.read_events(spark, put("head.csv", NORM + rows), "normalized-csv").columns).orderBy("ts").drop("source_file").collect() == [
+        r for r in spark.createDataFrame(want, events.schema).drop("source_file").collect()
+    ]
+    assert jobs.score_events(fg.loaded(events)).count() == 1
+    diagnostics = fg.ingest_diagnostics(events).first()
+    assert (diagnostics.input_row_count, diagnostics.loaded_event_count) == (20, 20)
+    bad = put("bad.csv", NORM + rows + "2026-01-01T00:00:00Z,10.0.0.1,,->,10.0.0.2,x,tcp,1,,,\n")
+    with pytest.raises(ValueError, match="row 22: dst_port must be an integer"):
+        fg.load_events(spark, bad, "normalized-csv", str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="no data rows"):
+        fg.load_events(spark, put("none.csv", NORM), "normalized-csv", str(tmp_path / "none"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -75,12 +76,13 @@ def score(
     run_date: str = "",
     thresholds: RuleThresholds = HIGH_PRECISION_RULES,
 ) -> ScoreRun:
-    """The scoring job. With `output`, writes alerts, scored flows and the run summary."""
-    events = fg.read_events(spark, paths, fmt)
+    """The scoring job: the files are parsed once, everything else reads the typed events. With
+    `output`, writes alerts, scored flows and the run summary."""
+    ensure_checkpoint_dir(spark)
+    events = fg.load_events(spark, paths, fmt, f"{spark.sparkContext.getCheckpointDir()}/events-{uuid.uuid4().hex}")
     artifact = load_model(spark, model_path) if model_path else None
     scored = score_events(fg.loaded(events), thresholds, artifact, profile)
     if output:  # alerts, table and summary read the same rows
-        ensure_checkpoint_dir(spark)
         scored = scored.checkpoint()
     alerts = sc.rank_alerts(scored)
     model = None

@@ -288,6 +288,24 @@ def read_events(spark: SparkSession, paths: str | Sequence[str], fmt: str, mode:
     return FORMATS[fmt](spark, paths, mode=mode)
 
 
+def load_events(spark: SparkSession, paths: str | Sequence[str], fmt: str, path: str) -> DataFrame:
+    """The events of `read_events`, typed and written to `path` as Parquet, then read from there.
+
+    The files are parsed once: counts and issues are read from the typed rows. (Observed metrics of the
+    write would do as well, but a session that has any can no longer ship Spark ML's forests.) Only
+    where there is an issue the strict reader reads the files again, and fails with the row's number."""
+    parsed = read_events(spark, paths, fmt, mode="collect")
+    if "skip_reason" not in parsed.columns:
+        parsed = parsed.withColumn("skip_reason", tx.no_issue())
+    parsed.select(*EVENT.fieldNames(), "skip_reason", "source_file", "issue").write.parquet(path)
+    events = spark.read.parquet(path)
+    seen = events.agg(F.count(F.lit(1)).alias("rows"), F.count("issue").alias("issues")).first()
+    if not seen["rows"] or seen["issues"]:
+        read_events(spark, paths, fmt)
+        raise ValueError(f"{seen['issues']} of {seen['rows']} rows have issues")
+    return events.drop("issue")
+
+
 def loaded(events: DataFrame) -> DataFrame:
     return events.filter("skip_reason IS NULL").drop("skip_reason")
 
