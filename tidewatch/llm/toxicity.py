@@ -37,7 +37,7 @@ MARGIN = 1.5  # ratio of a single word that is taken for chance
 STEPS = 100  # of 1 in a ratio when the curve is fitted
 REMEMBER = 200_000  # different words a task holds before it hands on what it has counted
 GRID = 1 << 24  # of 1 in a ratio: whole numbers have the same sum in any order
-COMMON_GRAMS, COMMON_WORDS = 1 << 18, 1 << 17  # looked up in tasks, all others by joins
+COMMON_GRAMS, COMMON_WORDS = 1 << 19, 1 << 18  # looked up in tasks, all others by joins
 LONG = 32  # letters of a word that is named by its digest
 
 
@@ -233,21 +233,23 @@ def count_words(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def commonest(table: DataFrame, most: int) -> DataFrame:
-    """At most so many rows, those of the largest n: from a count on that a histogram tells."""
+def commonest(table: DataFrame, name: str, most: int) -> DataFrame:
+    """About so many rows, those of the largest n: from a count on that a histogram tells, and of the
+    counts just below it as many as still fit, picked by hash."""
     size = F.floor(F.log2("n") * 16)
     sizes = sorted(tuple(r) for r in table.groupBy(size.alias("size")).count().collect())  # a few hundred at most
-    least = 1 << 30
+    least, part, share = 1 << 30, -1, 0
     for at, n in reversed(sizes):
         if n > most:
+            part, share = at, 10_000 * most // n
             break
         least, most = at, most - n
-    return table.filter(size >= least)
+    return table.filter((size >= least) | ((size == part) & (F.pmod(F.xxhash64(name), F.lit(10_000)) < share)))
 
 
 def rate_words(words: DataFrame, model: DataFrame) -> DataFrame:
     """name, n, total (ratio in GRID-ths) and letters (with the word's end) of a table of words."""
-    common = commonest(model.select("gram", "n", "seen"), COMMON_GRAMS).select("gram", "seen").toArrow()
+    common = commonest(model.select("gram", "n", "seen"), "gram", COMMON_GRAMS).select("gram", "seen").toArrow()
     held = np.column_stack([common["gram"].to_numpy(), common["seen"].to_numpy()]).astype(np.int64)
     known = words.sparkSession.sparkContext.broadcast(held[np.argsort(held[:, 0])])
     fields = ["name", "n", "total", "letters", "gram", "context"]
@@ -296,7 +298,7 @@ def rate_texts(texts: DataFrame, words: DataFrame) -> DataFrame:
         (F.col("total") / GRID / (F.col("letters") + PRIOR_LETTERS)).alias("top"),
     )
     sums = ["beyond", "total", "letters"]
-    common = commonest(rated, COMMON_WORDS).select("name", *sums, "top").toArrow()
+    common = commonest(rated, "name", COMMON_WORDS).select("name", *sums, "top").toArrow()
     known = texts.sparkSession.sparkContext.broadcast(common)
     fields = ["digest", "copies", "words", *sums, "top", "name", "times"]
     kinds = [pa.binary(), *[pa.int64()] * 5, pa.float64(), pa.string(), pa.int64()]
