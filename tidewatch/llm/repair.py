@@ -32,6 +32,7 @@ ENDS = (0, 3)
 ROLES = {"u": "user", "a": "assistant"}
 NEVER = 1 << 60
 PIECE_ROWS = 4096
+TASK_ROWS = 1 << 18  # the rows are few bytes, but each takes a while
 
 
 @dataclass(frozen=True)
@@ -206,7 +207,13 @@ def _runs(batches: Iterator[pa.RecordBatch], key: list[str], columns: list[str])
         yield held, own
 
 
-def _pieces(marked: DataFrame, costs: Costs) -> DataFrame:
+def _by_piece(rows: DataFrame, total: int) -> DataFrame:
+    """Whole pieces in order, in so many tasks that Spark does not put together."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+    return rows.repartition(tasks, "piece").sortWithinPartitions("piece", "at")
+
+
+def _pieces(marked: DataFrame, total: int, costs: Costs) -> DataFrame:
     """One row for each conversation in each piece of the order."""
     conv_field = marked.schema["conv"]
     schema = T.StructType([conv_field, T.StructField("piece", T.LongType()), *T.StructType.fromDDL(_PIECE).fields])
@@ -236,8 +243,8 @@ def _pieces(marked: DataFrame, costs: Costs) -> DataFrame:
             arrays = [pa.array([conv], kinds[0]), pa.array([piece], pa.int64()), *[pa.array(v, t) for v, t in zip(found, types)]]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    rows = marked.select("piece", "conv", "at", "initial", "fault").repartition("piece").sortWithinPartitions("piece", "at")
-    return rows.mapInArrow(_bundled(run), schema)
+    rows = marked.select("piece", "conv", "at", "initial", "fault")
+    return _by_piece(rows, total).mapInArrow(_bundled(run), schema)
 
 
 def _typed(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[pa.RecordBatch]:
@@ -298,7 +305,7 @@ def _routes(parts: DataFrame) -> DataFrame:
     return parts.repartition("conv").sortWithinPartitions("conv", "piece").mapInArrow(_bundled(run), schema)
 
 
-def _routed(marked: DataFrame, routes: DataFrame, costs: Costs) -> DataFrame:
+def _routed(marked: DataFrame, total: int, routes: DataFrame, costs: Costs) -> DataFrame:
     """conv and edits of the pieces whose entry and exit are known."""
     schema = T.StructType([marked.schema["conv"], *T.StructType.fromDDL(_EDITS).fields])
 
@@ -314,7 +321,7 @@ def _routed(marked: DataFrame, routes: DataFrame, costs: Costs) -> DataFrame:
     m, r = marked.alias("m"), routes.alias("r")
     own = m.join(r, (F.col("m.piece") == F.col("r.piece")) & F.col("m.conv").eqNullSafe(F.col("r.conv")))
     rows = own.select("m.piece", "m.conv", "r.entry", "r.exit", "m.at", "m.initial", "m.fault")
-    return rows.repartition("piece").sortWithinPartitions("piece", "at").mapInArrow(_bundled(run), schema)
+    return _by_piece(rows, total).mapInArrow(_bundled(run), schema)
 
 
 def faults(text: str = "text") -> tuple[Column, Column]:
@@ -357,10 +364,11 @@ def repair_conversations(
     marked = slim.join(firsts, "at", "left").select("at", "conv", "turn", "initial", fault.alias("fault"), F.floor(F.col("at") / piece_rows).alias("piece"))
     marked = stored(marked, "repair-faults")
 
-    pieces = stored(_pieces(marked, costs), "repair-pieces")
+    total = marked.count()
+    pieces = stored(_pieces(marked, total, costs), "repair-pieces")
     parts = pieces.filter(~F.col("whole"))
     routes = stored(_routes(parts), "repair-routes")
-    settled = pieces.filter("whole").select("conv", "edits").union(_routed(marked, routes, costs))
+    settled = pieces.filter("whole").select("conv", "edits").union(_routed(marked, total, routes, costs))
     made = settled.select("conv", F.inline("edits")).withColumn("source", F.when(F.col("edit").isin("K", "R"), F.col("at")))
     texts = ranked.select(F.col("at").alias("source"), F.col("role").alias("old"), "text")
     text = F.when(F.col("edit") == "I", "").otherwise(F.col("text"))
