@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -100,3 +101,31 @@ def test_copies(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
     got = toxicity.score_toxicity(docs, docs, labels).collect()
     assert len(got) == 203 and len({r.score for r in got if r.text == rows[0][1]}) == 1
+
+
+def test_letters_and_spellings_are_kept_apart():
+    a, b = (set(toxicity.grams([w])[1].tolist()) for w in ("你好吗", "㽠䥽䐗"))
+    assert not a & b
+    assert toxicity.WORD.findall("f*ck, sh1t a$$ 2023 ### b!tch! $h1t (no)") == ["f*ck", "sh1t", "a$$", "b!tch", "$h1t", "no"]
+    context, gram, word = toxicity.grams(["aé日", "😀"])
+    assert (toxicity.context_of(gram) == context).all() and np.bincount(word).tolist() == [5, 3]
+
+
+def test_ratios_of_documents(spark):
+    rows = corpus(120)
+    data = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, label int")
+    seen, unseen = reference([(t, y) for _, t, y in rows])
+    texts = ["zorkface anthe zorkface", rows[0][1], "日本語 zzz blumpkopf", "", None, "?!", "onthe " * 500]
+    frame = spark.createDataFrame([(t,) for t in texts + texts[:1]], "text string")
+    got = {bytes(r.digest): r for r in toxicity.rate_texts(frame, toxicity.rate_words(toxicity.count_words(frame, "text"), toxicity.fit_ratio(data, "text", "label"))).collect()}
+    for t in texts:
+        own = toxicity.WORD.findall((t or "").lower())
+        totals = []
+        for w in own:
+            context, gram, _ = toxicity.grams([w])
+            totals.append(sum(seen.get(g, unseen.get(c, 0.0)) for c, g in zip(context.tolist(), gram.tolist())))
+        letters = [len(w) + 1 for w in own]
+        r = got[hashlib.sha256((t or "").encode()).digest()]
+        assert abs(r.whole - sum(totals) / (sum(letters) + toxicity.PRIOR_TEXT)) < 1e-5
+        assert abs(r.top - max((x / (n + toxicity.PRIOR_LETTERS) for x, n in zip(totals, letters)), default=0)) < 1e-5
+        assert abs(r.density - sum(max(x - toxicity.MARGIN, 0) for x in totals) / (len(own) + toxicity.PRIOR_WORDS)) < 1e-5
