@@ -188,6 +188,30 @@ def test_sliced_gaps_and_bursts(events, monkeypatch):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
 
 
+def test_flows_are_dealt_to_tasks_by_their_events(events, monkeypatch):
+    """More events mean more tasks, with one exchange though a part of the key is a constant."""
+    from tidewatch.operators import hot_flows
+
+    e = events(random_rows(3)).withColumn("direction", F.lit("->"))
+    cols = [*OPS_KEY, *FEATURES]
+    whole = {r["src_ip"]: r for r in flow_features(e).select(cols).collect()}
+    monkeypatch.setattr(hot_flows, "TASK_EVENTS", 7)
+    for threshold in (hot_flows.HOT_EVENTS, None):
+        f = flow_features(e, hot_threshold=threshold)
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and f"{max(-(-e.count() // 7), 4)}), REPARTITION_BY_NUM" in plan
+        assert {r["src_ip"]: r for r in f.select(cols).collect()} == whole
+
+
+def test_the_survey_counts_events_and_lists_busy_keys(events):
+    from tidewatch.operators.hot_flows import survey
+
+    e = events([("a", "b", i, 1) for i in range(5)] + [("c", "b", 1, 1)]).withColumn("dst_port", F.lit(None).cast("int"))
+    total, busy = survey(e, list(OPS_KEY), 3)
+    assert total == 6 and [(r["src_ip"], r["event_count"], r["end_us"]) for r in busy.collect()] == [("a", 5, 4_000_000)]
+    assert survey(e, list(OPS_KEY), 5) == (6, None) and survey(e.limit(0), list(OPS_KEY), 5) == (0, None)
+
+
 def test_one_exchange(events):
     plan = flow_features(events([("a", "b", 0, 1), ("a", "b", 5, 1)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
