@@ -188,3 +188,18 @@ def test_calibration(spark):
     assert bins[1]["mean_predicted_score"] is None and bins[9]["observed_beacon_rate"] == 1.0
     assert md.brier(oof).first()["brier_score"] == pytest.approx((0.0025 + 0.2025) / 3)
     assert md.default_profiles()["balanced"]["threshold"] == 0.65
+
+
+def test_rows_of_a_fit_are_dealt_evenly(spark, monkeypatch):
+    """A table that came in one part, as from a file with one row group, is dealt to all cores."""
+    rows = spark.range(0, 400, numPartitions=1).unionByName(spark.range(0, numPartitions=3).limit(0))
+    sizes = lambda d: sorted(len(x) for x in d.rdd.glom().collect())
+    assert max(sizes(md.evenly(rows))) == 400  # few rows stay as they are
+    monkeypatch.setattr(md, "FEW_ROWS", 100)
+    got = md.evenly(rows)
+    assert max(sizes(got)) <= 110 and sorted(r["id"] for r in got.collect()) == list(range(400))
+    monkeypatch.setattr(md, "PART_ROWS", 50)
+    assert len(sizes(md.evenly(rows))) == 8
+    even = spark.range(0, 400, numPartitions=4)
+    assert sizes(md.evenly(even)) == [100] * 4
+    assert md.evenly(rows.limit(0)).count() == 0
