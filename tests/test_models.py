@@ -203,3 +203,27 @@ def test_rows_of_a_fit_are_dealt_evenly(spark, monkeypatch):
     even = spark.range(0, 400, numPartitions=4)
     assert sizes(md.evenly(even)) == [100] * 4
     assert md.evenly(rows.limit(0)).count() == 0
+
+
+def test_neighbors_move_blocks_by_groups(spark, monkeypatch):
+    """Leaves travel once for each group of queries, in units; as many rows as queries and leaves do not."""
+    monkeypatch.setattr(nb, "LEAF_ROWS", 10)
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(nb, "TWO_STEP_LEAVES", 2)
+    monkeypatch.setattr(nb, "GROUP_ROWS", 60)
+    monkeypatch.setattr(nb, "UNIT_BLOCKS", 4)
+    moved, search = [], nb._search
+
+    def counted(queries, pairs, *rest):
+        moved.append(pairs.count())
+        return search(queries, pairs, *rest)
+
+    monkeypatch.setattr(nb, "_search", counted)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 5))
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "rid bigint, vec array<double>, w bigint")
+    got = nb.knn(rows.select(F.col("rid").alias("qid"), "vec"), rows, 6, True).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert {(r.qid, r.rid) for r in got} == {(i, int(j)) for i in range(200) for j in np.argsort(d[i], kind="stable")[:6]}
+    assert len(moved) == 2 and sum(moved) <= 200  # single queries made 2,000 visits and more
