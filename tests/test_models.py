@@ -227,3 +227,25 @@ def test_neighbors_move_blocks_by_groups(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     assert {(r.qid, r.rid) for r in got} == {(i, int(j)) for i in range(200) for j in np.argsort(d[i], kind="stable")[:6]}
     assert len(moved) == 2 and sum(moved) <= 200  # single queries made 2,000 visits and more
+
+
+def test_a_fit_reads_few_parts(spark, monkeypatch):
+    """A table in many parts, as of many events, is fitted in as many parts as cores."""
+    seen, real = [], md.Pipeline
+
+    class Counted:
+        def __init__(self, stages):
+            self.stages = stages
+
+        def fit(self, rows):
+            seen.append(rows.rdd.getNumPartitions())
+            return real(stages=self.stages).fit(rows)
+
+    monkeypatch.setattr(md, "Pipeline", Counted)
+    rows, p = labelled(spark, 90).repartition(30), ModelParams(features=("x", "y"), trees=5)
+    md.fit(rows, "random_forest", p)
+    monkeypatch.setattr(md, "FEW_ROWS", 50)
+    md.fit(rows, "random_forest", p)
+    monkeypatch.setattr(md, "PART_ROWS", 10)
+    md.fit(rows, "random_forest", p)
+    assert seen == [30, spark.sparkContext.defaultParallelism, 9]

@@ -46,6 +46,14 @@ def evenly(rows: DataFrame) -> DataFrame:
     return d.repartition(max(cores, -(-size["all"] // PART_ROWS))).checkpoint()
 
 
+def in_few_parts(rows: DataFrame, total: int) -> DataFrame:
+    """Rows of a larger fit in no more parts than cores and PART_ROWS ask for: in every pass each part
+    sends the statistics of all open nodes, however few rows it has."""
+    if total <= FEW_ROWS:
+        return rows
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // PART_ROWS)))
+
+
 @dataclass(frozen=True)
 class Detector:
     """A fitted classifier; `threshold` may be replaced without a refit."""
@@ -136,7 +144,7 @@ def fit(rows: DataFrame, kind: str = "random_forest", p: ModelParams = ModelPara
     else:
         raise ValueError(f"Unsupported supervised detector: {kind}")
     keep = list(dict.fromkeys([*p.features, "_y", "_w"]))
-    model = Pipeline(stages=[*_vector_stages(p.features, scale), estimator]).fit(d.select(*keep))
+    model = Pipeline(stages=[*_vector_stages(p.features, scale), estimator]).fit(in_few_parts(d.select(*keep), total))
     return Detector(kind, p, model)
 
 

@@ -196,7 +196,7 @@ SELECT {KEY}, label, CAST((row_number() OVER (PARTITION BY label ORDER BY hk)-1)
 
 def oof(s, d):
     return stored(
-        s, d, "oof", lambda s, d: md.out_of_fold(md.kfold(feature_table(s, d), 5), 5, "random_forest", MP)
+        s, d, "oof", lambda s, d: md.out_of_fold(md.kfold(feature_table(s, d), 5).checkpoint(), 5, "random_forest", MP)
     )
 
 
