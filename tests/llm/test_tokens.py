@@ -62,3 +62,9 @@ def test_files(spark, odd, empty, tmp_path):
             assert (r.start, r.n_tokens, list(r.ids)) == (start, len(ids), ids)
             assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
             start += len(ids)
+
+
+def test_the_format_stays():
+    """Blocks that were written before can be read: the bytes of a block are fixed."""
+    ids = np.minimum(np.arange(1, 20_001) ** 2 % 977, 5_000) % 300
+    assert zlib.crc32(coder.encode(ids, 50_000)) == 2253073741

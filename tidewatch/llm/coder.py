@@ -64,24 +64,29 @@ class Model:
         g = self.gate
         total = g.sum(axis=1)
         room = (1 << GATE_BITS) - 3
-        self.edge2 = (g[:, 0] * room // total + 1).astype(np.uint64)
-        self.edge1 = ((g[:, 0] + g[:, 1]) * room // total + 2).astype(np.uint64)
+        # where each kind starts and how much of the range it has, at 3 * context + kind
+        edges = np.zeros((_CONTEXTS, 4), np.uint64)
+        edges[:, 1] = g[:, 0] * room // total + 1
+        edges[:, 2] = (g[:, 0] + g[:, 1]) * room // total + 2
+        edges[:, 3] = 1 << GATE_BITS
+        self.edge2, self.edge1 = edges[:, 1].copy(), edges[:, 2].copy()
+        self.start, self.part = edges[:, :3].ravel(), (edges[:, 1:] - edges[:, :3]).ravel()
 
     def predict(self, prev2: np.ndarray, prev1: np.ndarray) -> None:
         self.at1 = prev1
         self.at2 = ((prev2 * 0x9E3779B1 + prev1 * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - _PAIRS)
-        p1, p2 = self.table1[prev1], self.table2[self.at2]
+        self.p1, self.p2 = p1, p2 = self.table1[prev1], self.table2[self.at2]
         self.c1, self.c2, self.f1, self.f2 = p1 >> 3, p2 >> 3, p1 & 7, p2 & 7
         self.context = (self.f2 << 4) | (self.f1 << 1) | (self.c1 == self.c2)
 
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.gate += np.bincount(self.context * 3 + kind, minlength=3 * _CONTEXTS).reshape(_CONTEXTS, 3)
-        for table, at, c, f in ((self.table1, self.at1, self.c1, self.f1), (self.table2, self.at2, self.c2, self.f2)):
-            hit = c == ids
+    def learn(self, ids: np.ndarray, cell: np.ndarray, rest: np.ndarray) -> None:
+        """`cell` is 3 * context + kind of every id, `rest` the places of kind 2."""
+        self.gate += np.bincount(cell, minlength=3 * _CONTEXTS).reshape(_CONTEXTS, 3)
+        fresh = (ids << 3) | 1
+        for table, at, p, c, f in ((self.table1, self.at1, self.p1, self.c1, self.f1), (self.table2, self.at2, self.p2, self.c2, self.f2)):
             # a sure prediction loses confidence before it is replaced
-            kept = (c << 3) | np.where(hit, np.minimum(f + 1, _SURE), f - 1)
-            table[at] = np.where(hit | (f > 1), kept, (ids << 3) | 1)
-        self.late.append(ids[kind == 2])
+            table[at] = np.where(c == ids, p + (f < _SURE), np.where(f > 1, p - 1, fresh))
+        self.late.append(ids[rest])
         self.step += 1
         if self.step % 16 == 0 or self.step in (1, 2, 4, 8):
             self._spread()
@@ -131,13 +136,12 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         live = lanes if lanes * steps == n else len(range(t, n, steps))
         s = grid[t, :live]
         model.predict(prev2[:live], prev1[:live])
-        kind = np.where(s == model.c2, 0, np.where(s == model.c1, 1, 2))
-        e2, e1 = model.edge2[model.context], model.edge1[model.context]
-        start = np.where(kind == 0, np.uint64(0), np.where(kind == 1, e2, e1))
-        stop = np.where(kind == 0, e2, np.where(kind == 1, e1, np.uint64(1 << GATE_BITS)))
+        off2 = s != model.c2
+        off = off2 & (s != model.c1)
+        cell = model.context * 3 + off2 + off
         r = size[:live] >> gate
-        a, z = low[:live] + r * start, r * (stop - start)
-        rest = np.flatnonzero(kind == 2)
+        a, z = low[:live] + r * model.start[cell], r * model.part[cell]
+        rest = np.flatnonzero(off)
         if len(rest):
             i = s[rest]
             first = model.cum[i].astype(np.uint64)
@@ -151,7 +155,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
             a[out] <<= _WORD
             z[out] = cut << _WORD
         low[:live], size[:live] = a, z
-        model.learn(s, kind)
+        model.learn(s, cell, rest)
         prev2[:live], prev1[:live] = prev1[:live], s
     for part in (low >> _WORD, low & _LOW):
         words[np.arange(lanes), filled] = part
@@ -191,12 +195,10 @@ def decode(block: bytes) -> np.ndarray:
         r = size[:live] >> gate
         d = code[:live] - low[:live]
         in2, in1 = d < r * e2, d < r * e1
-        kind = np.where(in2, 0, np.where(in1, 1, 2))
-        start = np.where(in2, np.uint64(0), np.where(in1, e2, e1))
-        stop = np.where(in2, e2, np.where(in1, e1, np.uint64(1 << GATE_BITS)))
+        cell = model.context * 3 + ~in2 + ~in1
         s = np.where(in2, model.c2, model.c1)
-        a, z = low[:live] + r * start, r * (stop - start)
-        rest = np.flatnonzero(kind == 2)
+        a, z = low[:live] + r * model.start[cell], r * model.part[cell]
+        rest = np.flatnonzero(~in1)
         if len(rest):
             r = z[rest] >> shift
             value = (code[:live][rest] - a[rest]) // r
@@ -212,7 +214,7 @@ def decode(block: bytes) -> np.ndarray:
             code[out] = (code[out] << _WORD) | words[out, np.minimum(at[out], words.shape[1] - 1)]
             at[out] += 1
         low[:live], size[:live] = a, z
-        model.learn(s, kind)
+        model.learn(s, cell, rest)
         prev2[:live], prev1[:live] = prev1[:live], s
         grid[t, :live] = s
     ids = grid.T.reshape(-1)[:n]
