@@ -57,3 +57,22 @@ def test_ordinary_wording_calibrates(spark):
     assert licenses.calibrated(held(plain(20)), weights, families, intercepts) == licenses.LEAST
     near = licenses.calibrated(held(["released under the license of the gnu public domain project for everyone here"]), weights, families, intercepts)
     assert near > licenses.LEAST
+
+
+def test_every_paragraph_counts(spark):
+    """No document is left out: all are trained on or calibrate, and a wording of any number of them counts."""
+    text = lambda i: f"plain line {i} of the\nunder the terms of the house {'may use' if i % 7 else 'use may'} x{i}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(1500)], "doc_id bigint, text string")
+    rows = [[" ".join(r.words) for r in licenses.ordinary(docs, "doc_id", "text", held).collect()] for held in (0, 1)]
+    assert sorted(rows[0] + rows[1]) == sorted(x for i in range(1500) for x in text(i).split("\n"))
+    assert len(rows[0]) > 2000 and len(rows[1]) > 400
+
+
+def test_own_ngrams(spark):
+    """The n-grams of the notices' words are those of all n-grams that have no other word."""
+    rng = random.Random(2)
+    lines = [" ".join(rng.choice(["the", "of", "use", "license", "house", "a|b", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    of = licenses.words(licenses.F.col("line"))
+    rows = spark.createDataFrame([(t,) for t in lines], "line string").select(of.alias("words"))
+    for r in rows.select(licenses.ngrams(licenses.F.col("words")).alias("a"), licenses.own_ngrams(licenses.F.col("words")).alias("b")).collect():
+        assert sorted(r.b) == sorted(g for g in r.a if set(g.split(" ")) <= set(licenses.OWN))
