@@ -66,3 +66,21 @@ def test_walk_is_in_order():
     for i, walk in enumerate(index.walk(v)):
         s = (a[i][:, None] + b[i][None, :]).ravel()[walk]
         assert (np.diff(s) >= -1e-12).all() and set(walk) == set(cells[index.sees(v[i : i + 1], cells)[0]])
+
+
+def test_groups_of_cells(spark, monkeypatch):
+    """A vector moves once for each group, however many cells it visits, and every two meet in one task."""
+    rows = vectors()
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    cells = [(i, 1, 2, i % 7, b"") for i in range(300)]
+    placed = spark.createDataFrame(cells, "rep bigint, w bigint, dim int, home bigint, code binary")
+    tasks = {}
+    for r in embeddings._dealt(placed, 5).collect():
+        tasks.setdefault((r.g, r.h), ([], []))[not r.first].append(r.rep)
+    assert sum(len(a) + len(b) for a, b in tasks.values()) == 5 * 300
+    met = [tuple(sorted((x, y))) for (g, h), (a, b) in tasks.items() for k, x in enumerate(a) for y in (a[k + 1 :] if g == h else b)]
+    assert len(met) == len(set(met)) == 300 * 299 // 2
+    # many groups, chunks of a few vectors and links that are joined as they come change nothing
+    for name, value in (("GROUP_ROWS", 40), ("CHUNK", 16), ("PAIRS", 50)):
+        monkeypatch.setattr(embeddings, name, value)
+    assert run(spark, rows, recall=1.0) == brute(rows)

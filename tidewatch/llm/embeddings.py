@@ -4,8 +4,11 @@ Equal vectors are one class. Two codebooks, one for each half of the vectors, fo
 every class is listed in the cell of its two nearest centroids. A query walks the cells in order of
 distance (multi-sequence traversal) up to a margin beyond its own cell. The margin is fitted so that
 the target recall is met by pairs that are only just similar enough; nearer ones are missed less.
-What shares a visited cell is compared exactly, block by block. A pair counts for both ends
-whichever of them visits the other's cell.
+A pair counts for both ends whichever of them visits the other's cell, and is compared exactly.
+
+Visits grow faster than the vectors while there are cells to add, so they are not rows. Cells are
+dealt to groups, a task takes two groups (each vector moves once for each of them), and finds there who
+visits which cell.
 """
 
 from __future__ import annotations
@@ -25,7 +28,12 @@ from tidewatch.llm.graph import components
 SAMPLE = 8192  # vectors the codebooks and the margin are fitted on, for all sizes
 MAX_CENTROIDS = 256
 CELL_VECTORS = 8  # wanted in a cell on average, while there are centroids to add
-BLOCK = 2048  # vectors of a cell, or of its visitors, that one task compares at a time
+BLOCK = 2048  # vectors of a cell that stay together
+# A vector is sent to as many tasks as there are groups: GROUPS, or more where one of them would hold
+# more than GROUP_BYTES of vectors; fewer where a group would have less than GROUP_ROWS.
+GROUPS, GROUP_ROWS, GROUP_BYTES = 8, 1024, 1 << 25
+CHUNK = 1 << 14  # vectors whose distances to all centroids a task holds at a time
+PAIRS = 1 << 22  # cosines, and links, that a task holds at a time
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -128,9 +136,10 @@ def _fit(classes: DataFrame, threshold: float, recall: float) -> dict[int, Index
     return {n: Index.fit(unit(np.array(v)), max(1, total * len(v) // max(len(sample), 1)), threshold, recall) for n, v in by_length.items()}
 
 
-def _grouped(lengths: list[int]) -> dict[int, np.ndarray]:
-    a = np.array(lengths)
-    return {int(n): np.flatnonzero(a == n) for n in np.unique(a)}
+def _as_matrix(column: pa.Array, at: np.ndarray, n: int) -> np.ndarray:
+    """The rows `at` of a column of lists, all of length n."""
+    starts = column.offsets.to_numpy()[at].astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[starts[:, None] + np.arange(n)]
 
 
 def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,6 +156,92 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+class Chunk:
+    """Unit vectors in the order of their cells, and what their walks need. Vectors of a length that has
+    no index share cell 0."""
+
+    def __init__(self, index: Index | None, vectors: np.ndarray, home: np.ndarray, rows: np.ndarray):
+        self.index, self.vectors, self.home, self.rows = index, vectors, home, rows
+        if index is not None:
+            a, b = index.distances(vectors)
+            self.least = b.min(1)
+            self.end = a.min(1) + self.least + index.margin
+            self.first, self.second = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+
+    def sees(self, i: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether vector i walks to a cell, pair by pair."""
+        if self.index is None:
+            return np.ones(len(i), bool)
+        x, y = np.divmod(cells, len(self.index.books[1]))
+        return self.first[x, i] + self.second[y, i] <= self.end[i]
+
+    def visitors(self, cells: np.ndarray) -> Iterator[np.ndarray]:
+        """The vectors that walk to each of the sorted cells."""
+        if self.index is None:
+            yield from [np.arange(len(self.vectors))] * len(cells)
+            return
+        last = -1
+        for x, y in zip(*(c.tolist() for c in np.divmod(cells, len(self.index.books[1])))):
+            if x != last:  # who can reach any cell of this centroid
+                able = np.flatnonzero(self.first[x] + self.least <= self.end)
+                near, end, last = self.first[x, able], self.end[able], x
+            yield able[near + self.second[y, able] <= end]
+
+    def similar(self, other: Chunk, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of similar vectors where i, of this chunk, walks to the cell of j of the other."""
+        cells, start = np.unique(other.home, return_index=True)
+        for i, lo, hi in zip(self.visitors(cells), start.tolist(), [*start[1:].tolist(), len(other.home)]):
+            if not len(i):
+                continue
+            step = max(1, PAIRS // len(i))
+            q = self.vectors[i]
+            for at in range(lo, hi, step):
+                a, b = np.nonzero(q @ other.vectors[at : min(at + step, hi)].T >= threshold)
+                if len(a):
+                    yield i[a], b + at
+
+    def links(self, other: Chunk, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each pair of similar vectors once, if either of them walks to the other's cell."""
+        same = self is other
+        for i, j in self.similar(other, threshold):
+            first = (i < j) | (i > j) & ~self.sees(j, self.home[i]) if same else np.ones(len(i), bool)
+            yield i[first], j[first]
+        if not same:
+            for j, i in other.similar(self, threshold):
+                blind = ~self.sees(i, other.home[j])
+                yield i[blind], j[blind]
+
+
+def _tile_links(index: Index | None, vectors: np.ndarray, home: np.ndarray, rows: np.ndarray, first: np.ndarray, alone: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs, as numbers of rows, between the vectors of two groups (`first` or not), or, where it
+    is `alone`, among those of the first."""
+
+    def chunks(at: np.ndarray) -> Iterator[Chunk]:
+        at = at[np.argsort(home[at], kind="stable")]
+        for i in range(0, len(at), CHUNK):
+            x = at[i : i + CHUNK]
+            yield Chunk(index, vectors[x], home[x], rows[x])
+
+    left = list(chunks(np.flatnonzero(first)))
+    others = ((x, y) for y in chunks(np.flatnonzero(~first)) for x in left)
+    for x, y in ((x, y) for k, x in enumerate(left) for y in left[k:]) if alone else others:
+        for i, j in x.links(y, threshold):
+            yield x.rows[i], y.rows[j]
+
+
+def _dealt(placed: DataFrame, groups: int) -> DataFrame:
+    """Every row once for each group: in the task (g, h) all of group g, `first`, meet all of group h."""
+    # a cell stays whole up to BLOCK vectors; one row for each larger cell, so at most one for BLOCK vectors
+    hot = placed.groupBy("dim", "home").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK)
+    hot = F.broadcast(hot.select("dim", "home", F.ceil(F.col("m") / BLOCK).cast("int").alias("cut")))
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("cut", F.lit(1)))
+    d = placed.join(hot, ["dim", "home"], "left")
+    d = d.withColumn("_own", F.pmod(F.xxhash64("dim", "home", part), F.lit(groups)).cast("int"))
+    d = d.withColumn("_met", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    place = [F.least("_own", "_met").alias("g"), F.greatest("_own", "_met").alias("h"), (F.col("_own") <= F.col("_met")).alias("first")]
+    return d.select(*place, *placed.columns)
+
+
 def similar_vectors(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = 0.95
 ) -> DataFrame:
@@ -167,87 +262,72 @@ def similar_vectors(
     classes = stored(valid.groupBy(F.col("_v").alias("vec")).agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("w")).filter(F.col("rep").isNotNull()), "vector-classes")
     known = spark.sparkContext.broadcast(_fit(classes, threshold, recall))  # a few centroids
 
+    kind, key_type = rows.schema[key].dataType.simpleString(), to_arrow_type(rows.schema[key].dataType)
+    # vectors move in the type they came in, which holds them exactly
+    single = rows.schema[vector].dataType.simpleString() == "array<float>"
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = known.value
+        index, moved = known.value, np.float32 if single else np.float64
         for b in batches:
-            vecs = b.column(0).to_pylist()
-            home, visits = [0] * len(vecs), [np.zeros(1, np.int64)] * len(vecs)
-            for n, at in _grouped([len(v) for v in vecs]).items() if vecs else ():
+            vecs = b.column(0)
+            dims = np.diff(vecs.offsets.to_numpy()).astype(np.int32)
+            home, code = np.zeros(len(dims), np.int64), [b""] * len(dims)
+            for n in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == n)
+                v = _as_matrix(vecs, at, n)
                 if n in index:
-                    v = unit(np.array([vecs[i] for i in at]))
-                    for i, c, w in zip(at.tolist(), index[n].cells(v).tolist(), index[n].walk(v)):
-                        home[i], visits[i] = c, w
+                    home[at] = index[n].cells(unit(v))
+                for i, x in zip(at.tolist(), v.astype(moved)):
+                    code[i] = x.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([len(v) for v in vecs], pa.int32()), pa.array(home, pa.int64()), pa.array(visits, pa.list_(pa.int64()))],
-                names=[*b.schema.names, "dim", "home", "visits"],
+                [b.column(1), b.column(2), pa.array(dims), pa.array(home), pa.array(code, pa.binary())], names=["rep", "w", "dim", "home", "code"]
             )
 
-    kind, key_type = rows.schema[key].dataType.simpleString(), to_arrow_type(rows.schema[key].dataType)
-    placed = stored(classes.mapInArrow(place, f"vec array<double>, rep {kind}, w bigint, dim int, home bigint, visits array<bigint>"), "vector-cells")
-    # hot cells are cut: every part of a cell's vectors meets every part of its visitors
-    parts_of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    part = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
-    visitors = placed.select("dim", F.explode("visits").alias("cell"), "rep", "w", "vec", "home")
-    held = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("m"))
-    came = visitors.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("q"))
-    sizes = held.join(came, ["dim", "cell"]).select("dim", "cell", parts_of("m").alias("mk"), parts_of("q").alias("qk"))
-    left = visitors.join(sizes, ["dim", "cell"]).withColumn("qp", part("qk")).withColumn("mp", F.explode(F.sequence(F.lit(0), F.col("mk") - 1)))
-    right = placed.select("dim", F.col("home").alias("cell"), "rep", "w", "vec", "home").join(sizes, ["dim", "cell"])
-    right = right.withColumn("mp", part("mk")).withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("qk") - 1)))
-    where = ["dim", "cell", "qp", "mp"]
-    both = left.select(*where, F.lit(True).alias("query"), "rep", "w", "vec", "home").union(right.select(*where, F.lit(False), "rep", "w", "vec", "home"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    both = both.repartition(n, *where).sortWithinPartitions(*where)
-
-    def compare(now: tuple, held: list[tuple]) -> tuple[list, list, list]:
-        """(rep, links counted here, root of its component here) of the vectors with links."""
-        queries, members = [r for r in held if r[0]], [r for r in held if not r[0]]
-        if not queries or not members:
-            return [], [], []
-        q, m = unit(np.array([r[3] for r in queries])), unit(np.array([r[3] for r in members]))
-        qid, mid = [r[1] for r in queries], [r[1] for r in members]
-        number = {r: i for i, r in enumerate(sorted({*qid, *mid}))}
-        qn, mn = np.array([number[r] for r in qid]), np.array([number[r] for r in mid])
-        link = (q @ m.T >= threshold) & (qn[:, None] != mn[None, :])
-        if not link.any():
-            return [], [], []
-        qw, mw = np.array([r[2] for r in queries], np.int64), np.array([r[2] for r in members], np.int64)
-        total = np.zeros(len(number), np.int64)
-        np.add.at(total, qn, link @ mw)
-        # a member that does not walk to the query's cell learns of the link here
-        index = known.value.get(now[0])
-        if index is not None:
-            homes, at = np.unique([r[4] for r in queries], return_inverse=True)
-            blind = ~index.sees(m, homes)
-            np.add.at(total, mn, ((link & blind[:, at].T).T @ qw))
-        a, b = np.nonzero(link)
-        root = _joined(len(number), qn[a], mn[b])
-        names = sorted(number)
-        own = sorted({*qn[a].tolist(), *mn[b].tolist()})
-        return [names[i] for i in own], total[own].tolist(), [names[root[i]] for i in own]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        types = [key_type, pa.int64(), key_type]
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(compare(now, held), types)], names=["rep", "n", "root"])
+    placed = stored(classes.mapInArrow(place, f"rep {kind}, w bigint, dim int, home bigint, code binary"), "vector-cells")
+    size = placed.agg(F.count(F.lit(1)).alias("n"), F.sum("dim").alias("parts")).first()
+    groups = max(min(GROUPS, size["n"] // GROUP_ROWS), -(-8 * (size["parts"] or 0) // GROUP_BYTES), 1)
+    dealt = _dealt(placed, groups)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2, min(groups * (groups + 1), 1 << 14))
 
-        for b in batches:
-            for *place_, query, rep, w, vec, home in zip(*(c.to_pylist() for c in b.columns)):
-                if tuple(place_) != now:
-                    if now:
-                        yield flush()
-                    now, held = tuple(place_), []
-                held.append((query, rep, w, vec, home))
-        if now:
-            yield flush()
-
-    found = stored(both.mapInArrow(run, f"rep {kind}, n bigint, root {kind}"), "vector-links")
+    def compare(table: pa.Table) -> pa.Table:
+        """(rep, links counted here, root of its component here) of the vectors with links."""
+        index, moved = known.value, np.float32 if single else np.float64
+        reps = table["rep"].to_pylist()
+        first, w, dim, home = (table[x].to_numpy() for x in ("first", "w", "dim", "home"))
+        alone = table["g"][0] == table["h"][0]
+        parts = np.frombuffer(b"".join(table["code"].to_pylist()), moved)
+        start = np.cumsum(dim, dtype=np.int64) - dim
+        names = sorted(set(reps))
+        number = {r: i for i, r in enumerate(names)}
+        at = np.array([number[r] for r in reps], np.int64)
+        total, linked = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        held, waiting = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+        for n in np.unique(dim).tolist():
+            own = np.flatnonzero(dim == n)
+            v = unit(parts[start[own, None] + np.arange(n)])
+            for i, j in _tile_links(index.get(n), v, home[own], own, first[own], alone, threshold):
+                a, b = at[i], at[j]
+                other = a != b
+                a, b = a[other], b[other]
+                np.add.at(total, a, w[j[other]])
+                np.add.at(total, b, w[i[other]])
+                linked[a] = linked[b] = True
+                held.append((a, b))
+                waiting += len(a)
+                if waiting > PAIRS:
+                    root = _joined(len(names), *map(np.concatenate, zip(*held)))
+                    held, waiting = [(np.arange(len(names)), root)], 0
+        root = _joined(len(names), *map(np.concatenate, zip(*held)))
+        out = np.flatnonzero(linked).tolist()
+        return pa.table({"rep": pa.array([names[i] for i in out], key_type), "n": total[out], "root": pa.array([names[root[i]] for i in out], key_type)})
+
+    # the number of parts is given, so that each is a task of its own
+    found = dealt.repartition(tasks, "g", "h").groupBy("g", "h").applyInArrow(compare, f"rep {kind}, n bigint, root {kind}")
+    found = stored(found, "vector-links")
     labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     per_class = (
-        placed.select("vec", "rep", "w").join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .select("vec", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     )
     out = typed.join(per_class, F.when(F.col("_ok"), F.col("_v")) == F.col("vec"), "left")
