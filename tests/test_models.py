@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidewatch.operators import anomaly as an
+from tidewatch.operators import forest as fo
 from tidewatch.operators import models as md
 from tidewatch.operators import neighbors as nb
 from tidewatch.schema import OPS_KEY, AnomalyParams, ModelParams
@@ -249,3 +250,43 @@ def test_a_fit_reads_few_parts(spark, monkeypatch):
     monkeypatch.setattr(md, "PART_ROWS", 10)
     md.fit(rows, "random_forest", p)
     assert seen == [30, spark.sparkContext.defaultParallelism, 9]
+
+
+def test_forest_of_many_rows(spark, monkeypatch, tmp_path):
+    """Trees that are counted one at a time in a part score as those of Spark ML do, and can be saved."""
+    rows, p = labelled(spark, 400).repartition(3).checkpoint(), ModelParams(features=("x", "y"), trees=60)
+    small = md.fit(rows, "random_forest", p)
+    monkeypatch.setattr(md, "FOREST_ROWS", 100)
+    monkeypatch.setattr(fo, "CHUNK_ROWS", 50)
+    large = md.fit(rows, "random_forest", p)
+    assert isinstance(large.model, fo.Forest) and large.model.feature.shape == (60, 512)
+    a, b = (np.array([r["score"] for r in md.score(rows, m).orderBy("dst_ip").collect()]) for m in (small, large))
+    assert np.corrcoef(a, b)[0, 1] > 0.97 and abs(a - b).mean() < 0.05 and b.min() >= 0 and b.max() <= 1
+    weights = dict(md.feature_weights(large))
+    assert weights["x"] > weights["y"] and sum(weights.values()) == pytest.approx(1)
+    assert md.save_model(large, spark, str(tmp_path / "m")) == "forest_table"
+    again = md.Detector(large.kind, p, md.load_model(spark, str(tmp_path / "m"), "forest_table"))
+    assert [r["score"] for r in md.score(rows, again).orderBy("dst_ip").collect()] == b.tolist()
+
+
+def test_forest_splits(spark):
+    """The counted split of a root is the best of all, and missing values count as 0."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 2)), 1)
+    y = (x[:, 1] + rng.normal(scale=0.4, size=300) > 0.3).astype(int)
+    data = [(None if v == 0 else float(v), float(w), int(z)) for (v, w), z in zip(x, y)]
+    rows = spark.createDataFrame(data, "a double, b double, y int").repartition(2).checkpoint()
+    f = fo.fit_forest(rows, ["a", "b"], "y", 300, (1.0, 1.0), 40, 1, 2, 5)
+    used = f.feature[:, 1] == 1
+    assert used.sum() > 30 and f.importances[1] > 0.9
+
+    def loss(cut):
+        sides = [y[x[:, 1] <= cut], y[x[:, 1] > cut]]
+        return sum(len(s) * s.mean() * (1 - s.mean()) for s in sides if len(s))
+
+    values = np.unique(x[:, 1])
+    best = min(loss(c) for c in (values[:-1] + values[1:]) / 2)
+    assert np.median([loss(c) for c in f.cut[used, 1]]) < best * 1.05
+    left, right = f.beacon[used, 2], f.beacon[used, 3]
+    assert (left < 0.4).all() and (right > 0.6).all()
+    assert (f.feature[:, 2:] < 0).all()
