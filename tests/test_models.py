@@ -290,3 +290,17 @@ def test_forest_splits(spark):
     left, right = f.beacon[used, 2], f.beacon[used, 3]
     assert (left < 0.4).all() and (right > 0.6).all()
     assert (f.feature[:, 2:] < 0).all()
+
+
+def test_one_search_for_rows_and_reference(spark, monkeypatch):
+    """Rows that hold the reference, with copies of some, are scored from one search as from two."""
+    searches, knn = [], an.knn
+    monkeypatch.setattr(an, "knn", lambda *a, **b: searches.append(a) or knn(*a, **b))
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=(50, 2)), np.tile([[0.5, 0.25]], (9, 1)), rng.normal(size=(15, 2))])
+    d, names = table(spark, x)
+    reference = d.filter("id < 59 AND id % 5 > 0")
+    got = an.fit_and_score(d, reference, names, 6, 0.1).orderBy("id").select("score").toPandas()["score"]
+    assert len(searches) == 1
+    keep = (np.arange(74) < 59) & (np.arange(74) % 5 > 0)
+    np.testing.assert_allclose(got, brute_lof(x[keep], x, 6, 0.1), rtol=1e-6)
